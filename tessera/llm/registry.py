@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing
-from .common import table
+from . import langid, mixing, ngram_join, packing
+from .common import crc_mod, table
 from .sql import MIX_SQL
 
 
@@ -19,6 +19,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs)
@@ -28,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op8_ppm_language_id": op8_ppm_language_id,
         "op9_pfair_mixing": op9_pfair_mixing,
     }
 
