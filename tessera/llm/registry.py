@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, ngram_join, packing
+from . import cover_tree, hash_forest, langid, mixing, ngram_join, packing
 from .common import crc_mod, table
-from .sql import MIX_SQL
+from .sql import MIX_SQL, TOP_PRODUCTS_SQL
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hash_forest.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 3) == 1)
     model = langid.train(docs.where("not held_out"))
@@ -30,14 +35,21 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return cover_tree.top_products(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op6_hash_prefix_forest": op6_hash_prefix_forest,
         "op8_ppm_language_id": op8_ppm_language_id,
         "op9_pfair_mixing": op9_pfair_mixing,
+        "op10_cover_tree_top_k": op10_cover_tree_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pfair_mixing": MIX_SQL}
+    return {"op9_pfair_mixing": MIX_SQL, "op10_cover_tree_top_k": TOP_PRODUCTS_SQL}
