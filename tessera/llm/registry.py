@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, hash_forest, langid, mixing, ngram_join, packing
+from . import cover_tree, hash_forest, langid, mixing, ngram_join, packing, secrets
 from .common import crc_mod, table
 from .sql import MIX_SQL, TOP_PRODUCTS_SQL
 
 
+def op2_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train(secrets.labelled_findings(spark))
+    return secrets.findings(table(spark, sf_dir, "documents"), forest)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_forest_secret_scan": op2_forest_secret_scan,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_hash_prefix_forest": op6_hash_prefix_forest,
