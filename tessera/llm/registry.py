@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, hash_forest, langid, mixing, ngram_join, packing, secrets
+from . import cover_tree, hash_forest, katz, langid, mixing, ngram_join, packing, secrets
 from .common import crc_mod, table
 from .sql import MIX_SQL, TOP_PRODUCTS_SQL
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("train", crc_mod("doc_id", 10) != 0)
+    return katz.score(docs, "train")
+
+
 def op2_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secrets.train(secrets.labelled_findings(spark))
     return secrets.findings(table(spark, sf_dir, "documents"), forest)
@@ -47,6 +52,7 @@ def op10_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_katz_backoff": op1_katz_backoff,
         "op2_forest_secret_scan": op2_forest_secret_scan,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_best_fit_packing": op4_best_fit_packing,
