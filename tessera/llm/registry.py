@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, hash_forest, katz, langid, mixing, ngram_join, packing, secrets
+from . import attention, cover_tree, hash_forest, katz, langid, mixing, ngram_join, packing, secrets, toxicity
 from .common import crc_mod, table
 from .sql import MIX_SQL, TOP_PRODUCTS_SQL
 
@@ -29,11 +29,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = attention.train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    return attention.predict(docs, model).withColumn("held_out", crc_mod("doc_id", 5) == 0).select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
 def op6_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return hash_forest.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op7_chain_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    return toxicity.predict(docs, chain).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def op8_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 3) == 1)
     model = langid.train(docs.where("not held_out"))
@@ -56,7 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_forest_secret_scan": op2_forest_secret_scan,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_attention_quality": op5_attention_quality,
         "op6_hash_prefix_forest": op6_hash_prefix_forest,
+        "op7_chain_toxicity": op7_chain_toxicity,
         "op8_ppm_language_id": op8_ppm_language_id,
         "op9_pfair_mixing": op9_pfair_mixing,
         "op10_cover_tree_top_k": op10_cover_tree_top_k,
