@@ -86,7 +86,7 @@ def source_tree(spark: SparkSession, root: str, include: list[str] | None = None
     rows = found.withColumn("path", relative)
     keep = S.selected("path", include or [], [*IGNORED, *(exclude or [])]) & ~S.secret_path("path") & ~S.is_binary("content")
     out = rows.where(keep)
-    return out.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size_bytes"), S.language("path").alias("language"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return out.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size_bytes"), S.language("path").alias("language"), F.decode("content", "UTF-8").alias("text"))
 
 
 def write_corpus(docs: DataFrame, path: str) -> None:
