@@ -87,11 +87,13 @@ def mix(
     temperature: float = 0.7,
     weights: dict[str, float] | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` and ``mix_block, mix_release, mix_deadline, mix_slot, mix_position``.
+    """All columns of ``docs`` (but those it adds) and ``mix_block, mix_release, mix_deadline, mix_slot, mix_position``.
 
     ``mix_position`` orders the mixture.  A null source is a source of its own, next to one named
     by empty text; a null key orders first and repeated rows follow one another.  An empty table gives no rows.
     """
+    added = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position"]
+    docs = docs.drop(*added)
     named = docs.withColumn("__src", F.coalesce(F.concat(F.lit("s:"), F.col(source).cast("string")), F.lit("n:")))
     named = named.withColumn("__h", _order_key(key)).withColumn("__range", F.substring("__h", 1, 2))
     tally = docs.select(

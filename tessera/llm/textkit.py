@@ -115,8 +115,8 @@ def shingles(word: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarra
     """
     counts = np.diff(first)
     grams = np.zeros(len(word), dtype=np.uint64)
-    for j in range(width):
-        grams[: len(word) - j or None] += mix(word[j:] + np.uint64(j + 1))[: len(word) - j]
+    for j in range(min(width, len(word))):
+        grams[: len(word) - j] += mix(word[j:] + np.uint64(j + 1))
     rows = np.repeat(np.arange(len(counts)), counts)
     at = np.arange(len(word)) - first[rows] if len(word) else np.zeros(0, dtype=np.int64)
     whole = at <= counts[rows] - width

@@ -74,6 +74,8 @@ def telling(hashed: np.ndarray, bounds: np.ndarray, y: np.ndarray, most: int = W
 
 def fit_one(hashed: np.ndarray, bounds: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
     """Ridge logistic regression on the telling words and the earlier probabilities."""
+    if not len(y):
+        return Linear(hashed[:0], np.zeros(0), np.zeros(earlier.shape[1]), -4.0)
     share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     words = telling(hashed, bounds, y)
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(len(words)), np.zeros(earlier.shape[1])
