@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,28 +34,62 @@ def tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", "".join(c if c.isalpha() or c.isdecimal() else " " for c in text.lower()))
 
 
-@lru_cache(maxsize=65_536)
-def _word(word: str, dim: int, shortest: int, longest: int, seeds: tuple[str, str]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Cells and signs of a word: itself between brackets, and the character n-grams of that."""
-    bounded = f"<{word}>"
-    parts = [bounded, *(bounded[i : i + n] for n in range(shortest, longest + 1) for i in range(len(bounded) - n + 1))]
-    index, sign = (fnv1a(s.encode()) for s in seeds)
-    raw = [p.encode() for p in parts]
-    return tuple(fnv1a(p, index) % dim for p in raw), tuple(-1 if fnv1a(p, sign) & 1 else 1 for p in raw)
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """FNV-1a of each data[start:end], continued from ``seed``."""
+    h = np.full(len(start), seed, dtype=np.uint64)
+    for k in range(int((end - start).max(initial=0))):
+        on = start + k < end
+        h[on] = (h[on] ^ data[start[on] + k]) * np.uint64(_PRIME)
+    return h
+
+
+def _features(words: list[str], dim: int, shortest: int, longest: int, seeds: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells and signs of each word (itself between brackets, and the character n-grams of that), and where each word's begin."""
+    bounded = [f"<{w}>" for w in words]
+    raw = "".join(bounded).encode()
+    data = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
+    char = np.r_[np.flatnonzero((data & np.uint64(0xC0)) != 0x80), len(data)]  # first byte of each character
+    first = np.r_[0, np.cumsum([len(b) for b in bounded])]
+    word = np.repeat(np.arange(len(words)), np.diff(first))
+    starts, ends, owners = [char[first[:-1]]], [char[first[1:]]], [np.arange(len(words))]
+    for n in range(shortest, longest + 1):
+        at = np.flatnonzero(np.arange(len(word)) + n <= first[word + 1])
+        starts.append(char[at])
+        ends.append(char[at + n])
+        owners.append(word[at])
+    start, end, owner = (np.concatenate(x) for x in (starts, ends, owners))
+    order = np.argsort(owner, kind="stable")
+    start, end = start[order], end[order]
+    index, sign = (_hashes(data, start, end, fnv1a(s.encode())) for s in seeds)
+    cells = (index % np.uint64(dim)).astype(np.int64)
+    return cells, np.where(sign & np.uint64(1), -1.0, 1.0), np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
+def vectors(texts: list[str], dim: int = DIMENSION, shortest: int = SHORTEST, longest: int = LONGEST, seeds: tuple[str, str] = SEEDS) -> list[np.ndarray | None]:
+    """Unit mean of each text's word vectors; None without a word that counts."""
+    counted = [[t for t in tokens(text or "") if t not in STOPWORDS] for text in texts]
+    words = list(dict.fromkeys(t for c in counted for t in c))
+    if not words:
+        return [None] * len(texts)
+    number = {w: i for i, w in enumerate(words)}
+    cells, signs, begin = _features(words, dim, shortest, longest, seeds)
+    out: list[np.ndarray | None] = []
+    for c in counted:
+        if not c:
+            out.append(None)
+            continue
+        mine, times = np.unique([number[t] for t in c], return_counts=True)
+        size = begin[mine + 1] - begin[mine]
+        at = np.repeat(begin[mine] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        v = np.bincount(cells[at], weights=signs[at] * np.repeat(times, size), minlength=dim).astype(np.float32)
+        v *= np.float32(1) / np.float32(len(c))
+        length = np.float32(np.sqrt((v.astype(np.float64) ** 2).sum()))
+        out.append(v / length if length else None)
+    return out
 
 
 def vector(text: str | None, dim: int = DIMENSION, shortest: int = SHORTEST, longest: int = LONGEST, seeds: tuple[str, str] = SEEDS) -> np.ndarray | None:
-    """Unit mean of the word vectors; None without a word that counts."""
-    words = [t for t in tokens(text or "") if t not in STOPWORDS]
-    if not words:
-        return None
-    out = np.zeros(dim, dtype=np.float32)
-    for w in words:
-        cells, signs = _word(w, dim, shortest, longest, seeds)
-        np.add.at(out, list(cells), np.array(signs, dtype=np.float32))
-    out *= np.float32(1) / np.float32(len(words))
-    length = np.float32(np.sqrt((out.astype(np.float64) ** 2).sum()))
-    return out / length if length else None
+    return vectors([text or ""], dim, shortest, longest, seeds)[0]
 
 
 Embedder = Callable[[list[str]], list[list[float] | None]]
@@ -64,7 +97,7 @@ Embedder = Callable[[list[str]], list[list[float] | None]]
 
 def local(dim: int = DIMENSION, seeds: tuple[str, str] = SEEDS) -> Embedder:
     def run(texts: list[str]) -> list[list[float] | None]:
-        return [None if (v := vector(t, dim, seeds=seeds)) is None else v.tolist() for t in texts]
+        return [None if v is None else v.tolist() for v in vectors(texts, dim, seeds=seeds)]
 
     return run
 
