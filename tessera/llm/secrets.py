@@ -54,6 +54,8 @@ LEAD = rf"(?i:{_NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?"
 ASSIGNED = LEAD + r"[A-Za-z0-9+/_=.!@%^&*~$-]{8,4000}"
 RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{20,4000}(?![A-Za-z0-9+/_=-])"
 CANDIDATE = "|".join([*KNOWN_FORMATS.values(), ASSIGNED, RUN])
+#: One of these stands in every match: what a text must contain to be searched at all.
+SIGNS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "eyJ", "PRIVATE KEY-----"]
 #: Characters on either side in which neighbouring words count.
 NEARBY = 48
 
@@ -160,37 +162,42 @@ def _tree(text: str) -> str:
 
 
 def scan(docs: DataFrame, forest: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``pieces, candidates``: the stretches between candidates, and ``value, start, kind, score`` of each.
+    """All columns of ``docs`` and ``__secret_pieces, __secret_candidates``: the stretches between candidates (none without one), and ``value, start, kind, score`` of each.
 
     Null and empty texts have no candidates.  Every row is judged for itself, so repeated rows get equal results.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    held = docs.withColumn("__matches", F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)))
+    gate = body.rlike("[0-9:=]")
+    for sign in SIGNS:
+        gate = gate | body.contains(sign)
+    # Exploding one value keeps the optimiser from copying the search to every later use of it.
+    matches = F.when(gate, F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
+    held = docs.withColumn("__matches", F.explode(F.array(matches)))
     some = F.size("__matches") > 0
     lead = lambda m: F.regexp_extract(m, f"^{LEAD}(?=.{{8}})", 0)
-    held = held.withColumn("__pieces", F.when(some, F.split(body, CANDIDATE, -1)).otherwise(F.array(body)))
+    held = held.withColumn("__pieces", F.explode(F.array(F.when(some, F.split(body, CANDIDATE, -1)).otherwise(F.expr("cast(array() as array<string>)")))))
     held = held.withColumn("__leads", F.transform("__matches", lead))
     held = held.withColumn("__values", F.zip_with("__matches", "__leads", lambda m, x: F.substr(m, F.length(x) + 1)))
-    named = held.withColumn("pieces", F.transform("__pieces", lambda p, i: F.concat(p, F.coalesce(F.get("__leads", i), F.lit("")))))
+    named = held.withColumn("__secret_pieces", F.transform("__pieces", lambda p, i: F.concat(p, F.coalesce(F.get("__leads", i), F.lit("")))))
     # Starts (from 0) by running lengths of what stands before.
     starts = F.aggregate(
         F.sequence(F.lit(0), F.size("__values") - 1),
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
         lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get("pieces", i)) + F.length(F.get("__values", i))).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(F.get("pieces", i)))).alias("out")
+            (acc["at"] + F.length(F.get("__secret_pieces", i)) + F.length(F.get("__values", i))).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(F.get("__secret_pieces", i)))).alias("out")
         ),
         lambda acc: acc["out"],
     )
     measured = F.transform(
         "__values",
-        lambda v, i: F.struct(v.alias("value"), F.get("__starts", i).alias("start"), features(v, F.get("pieces", i), F.get("pieces", i + 1)).alias("f")),
+        lambda v, i: F.struct(v.alias("value"), F.get("__starts", i).alias("start"), features(v, F.get("__secret_pieces", i), F.get("__secret_pieces", i + 1)).alias("f")),
     )
     empty = "cast(array() as array<struct<value:string,start:int,kind:string,score:double>>)"
     formats = "".join(f" WHEN c.value RLIKE '{_quoted(f'^(?:{p})$')}' THEN '{k}'" for k, p in KNOWN_FORMATS.items())
     scored = f"transform(__m, c -> struct(c.value AS value, c.start AS start, CASE{formats} ELSE 'generic' END AS kind, {forest.replace('f.', 'c.f.')} AS score))"
     held = named.withColumn("__starts", F.when(F.size("__values") > 0, starts))
-    held = held.withColumn("__m", F.when(F.size("__values") > 0, measured))
-    held = held.withColumn("candidates", F.when(F.size("__values") > 0, F.expr(scored)).otherwise(F.expr(empty)))
+    held = held.withColumn("__m", F.explode(F.array(F.when(F.size("__values") > 0, measured))))
+    held = held.withColumn("__secret_candidates", F.when(F.size("__values") > 0, F.expr(scored)).otherwise(F.expr(empty)))
     return held.drop("__matches", "__pieces", "__leads", "__values", "__starts", "__m")
 
 
@@ -200,13 +207,13 @@ def _quoted(pattern: str) -> str:
 
 def findings(docs: DataFrame, forest: str, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``key, start, length, kind, secret, score`` of each candidate that the forest takes for a secret."""
-    found = scan(docs.select(key, text), forest, text).select(key, F.explode("candidates").alias("c")).where(F.col("c.score") >= threshold)
+    found = scan(docs.select(key, text), forest, text).select(key, F.explode("__secret_candidates").alias("c")).where(F.col("c.score") >= threshold)
     return found.select(key, "c.start", F.length("c.value").alias("length"), "c.kind", F.col("c.value").alias("secret"), "c.score")
 
 
 def redact(docs: DataFrame, forest: str, text: str = "text", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret in the text replaced by the mark; all else, null texts included, stays as it is."""
-    parts = F.zip_with("pieces", "candidates", lambda p, c: F.concat(F.coalesce(p, F.lit("")), F.when(c["score"] >= threshold, F.lit(mark)).otherwise(F.coalesce(c["value"], F.lit("")))))
-    hit = F.exists("candidates", lambda c: c["score"] >= threshold)
+    parts = F.zip_with("__secret_pieces", "__secret_candidates", lambda p, c: F.concat(F.coalesce(p, F.lit("")), F.when(c["score"] >= threshold, F.lit(mark)).otherwise(F.coalesce(c["value"], F.lit("")))))
+    hit = F.exists("__secret_candidates", lambda c: c["score"] >= threshold)
     out = scan(docs, forest, text)
-    return out.withColumn(text, F.when(hit, F.array_join(parts, "")).otherwise(F.col(text))).drop("pieces", "candidates")
+    return out.withColumn(text, F.when(hit, F.array_join(parts, "")).otherwise(F.col(text))).drop("__secret_pieces", "__secret_candidates")
