@@ -88,12 +88,20 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
     return out.orderBy(F.desc("score"), "distance", "id").limit(k)
 
 
+def settled(few: DataFrame) -> DataFrame:
+    """A result of bounded size as a local table, so that its later uses don't compute it again."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def graph_search(docs: DataFrame, doc_entities: DataFrame, edges: DataFrame, query: list[float], k: int, expansion: Expansion) -> DataFrame:
-    """``id, distance, graph_score, score`` of the ``k`` best."""
+    """``id, distance, graph_score, score`` of the ``k`` best.
+
+    Seeds (``seed_k`` rows) and entity scores (``max_entities`` rows) are settled on the way.
+    """
     x = expansion.normalised(k)
-    found = seeds(docs, query, x.seed_k)
+    found = settled(seeds(docs, query, x.seed_k))
     start = seed_scores(doc_entities, found)
-    scores = top_entities(expand(start, neighbours(edges, x.max_neighbors, x.edge_types), x.hops, x.decay), x.max_entities)
+    scores = settled(top_entities(expand(start, neighbours(edges, x.max_neighbors, x.edge_types), x.hops, x.decay), x.max_entities))
     return ranked(blend(docs, found, doc_scores(doc_entities, scores), query, x.alpha), k)
 
 
