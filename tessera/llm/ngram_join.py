@@ -13,11 +13,14 @@ long as a set has fewer of them than the ranges it is sure to share; a set with
 more emits its empty ranges too, so no pair is lost.
 
 Signatures travel as compressed sorted arrays, grouped by a hash range.  Small
-groups give their pairs; in a group of more than ``small_group`` sets, parity
-sketches (whose distance never exceeds the true one) rule out nearly all pairs
-inside bounded blocks, and only a spanning forest of the rest is checked, then
-whatever still crosses two components.  Every candidate is verified on the
-exact sets.  Exact copies are one class from the start.
+groups give their pairs, from which parity sketches (whose distance never
+exceeds the true one) and the number of signatures that similar sets are sure
+to share rule out nearly all that are not similar.  One candidate link a
+document is verified on the exact sets first, then every one that still crosses
+two components.  Groups of more than ``small_group`` sets matter only to sets
+that have so many signatures in such groups that a similar set could share no
+other; they are searched last, in bounded blocks, for links between components.
+Exact copies are one class from the start.
 """
 
 from __future__ import annotations
@@ -28,18 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blobs
 from . import textkit as tk
-from .common import drop_table, shuffle_partitions, stored
+from .common import shuffle_partitions, stored
 from .components import components
 
 WIDTH, PERCENT = 5, 75
 #: Ranges per possible difference.  More ranges are smaller signatures, fewer leave too little slack for empty ones.
 SLACK = 1.4
-SMALL_GROUP, BLOCK = 64, 2048
+SMALL_GROUP, BLOCK = 16, 2048
 #: Signatures that a task holds before it sends them off.
 FLUSH = 1 << 20
 SET_BITS = 48
@@ -58,39 +61,59 @@ def differences(size_sum: int | np.ndarray, percent: int = PERCENT):
     return size_sum * (100 - percent) // (100 + percent)
 
 
-def signatures(grams: np.ndarray, bounds: np.ndarray, percent: int = PERCENT, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of each sorted set ``grams[bounds[i]:bounds[i+1]]``."""
+def _levels(grams: np.ndarray, bounds: np.ndarray, percent: int, slack: float):
+    """For a set's own level and the next: level, possible differences and ranges of each set, row and range of each element, first elements of the filled ranges."""
     first = bands(percent)
     sizes = np.diff(bounds)
-    band = np.searchsorted(first, sizes, side="right") - 1
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    if not len(rows):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    high, mixed = grams >> np.uint64(32), tk.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
-    got, of = [], []
+    high = grams >> np.uint64(32)
     for up in (0, 1):
-        level = band + up
+        level = np.searchsorted(first, sizes, side="right") - 1 + up
         k = differences(2 * (first[level + 1] - 1), percent)
         ranges = np.where(k == 0, 1, np.ceil(k * slack).astype(np.int64) + 1)
         part = ((high * ranges[rows].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         new = np.ones(len(rows), dtype=bool)
         new[1:] = (rows[1:] != rows[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(new)
-        name = tk.mix(part[at].astype(np.uint64) * np.uint64(131) + level[rows[at]].astype(np.uint64) + np.uint64(1 << 60))
-        got.append(tk.mix(np.add.reduceat(mixed, at) + name))
+        yield level, k, ranges, rows, part, np.flatnonzero(new)
+
+
+def signatures(grams: np.ndarray, bounds: np.ndarray, percent: int = PERCENT, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of each sorted set ``grams[bounds[i]:bounds[i+1]]``; the last bit of a signature is its level's."""
+    if not len(grams):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    mixed = tk.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
+    got, of = [], []
+    one = np.uint64(1)
+    for level, k, ranges, rows, part, at in _levels(grams, bounds, percent, slack):
+        name = lambda p, lv: tk.mix(p.astype(np.uint64) * np.uint64(131) + lv.astype(np.uint64) + np.uint64(1 << 60))
+        bit = level.astype(np.uint64) & one
+        sig = tk.mix(np.add.reduceat(mixed, at) + name(part[at], level[rows[at]]))
+        got.append((sig & ~one) | bit[rows[at]])
         of.append(rows[at])
-        filled = np.bincount(rows[at], minlength=len(sizes))
-        for r in np.flatnonzero((sizes > 0) & (ranges - filled >= ranges - k) & (ranges > 1)):
+        filled = np.bincount(rows[at], minlength=len(level))
+        for r in np.flatnonzero((np.diff(bounds) > 0) & (filled <= k) & (ranges > 1)):
             empty = np.setdiff1d(np.arange(ranges[r]), part[bounds[r] : bounds[r + 1]])
-            got.append(tk.mix(tk.mix(empty.astype(np.uint64) * np.uint64(131) + np.uint64(level[r]) + np.uint64(1 << 60))))
+            got.append((tk.mix(name(empty, np.full(len(empty), level[r]))) & ~one) | bit[r])
             of.append(np.full(len(empty), r))
     return np.concatenate(got), np.concatenate(of)
 
 
+def sure(grams: np.ndarray, bounds: np.ndarray, percent: int = PERCENT, slack: float = SLACK) -> np.ndarray:
+    """How many signatures a set shares at least with any similar one, [row, last bit of the level].
+
+    A set that emits its empty ranges is sure of one only: the other set may not emit them.
+    """
+    out = np.zeros((len(bounds) - 1, 2), dtype=np.int64)
+    for level, k, ranges, rows, _, at in _levels(grams, bounds, percent, slack):
+        filled = np.bincount(rows[at], minlength=len(level))
+        out[np.arange(len(out)), level & 1] = np.maximum(filled - k, 1)
+    return out
+
+
 def sketch(grams: np.ndarray) -> bytes:
-    """Parity of the elements by hashed position, two positions an element at least; a power of two of bits."""
+    """Parity of the elements by hashed position, two positions an element at least (eight in small sets); a power of two of bits."""
     bits = 128
-    while bits < 2 * len(grams):
+    while bits < (8 if len(grams) <= 256 else 2) * len(grams):
         bits *= 2
     parity = np.bincount((tk.mix(grams + np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
@@ -126,13 +149,14 @@ def _class_ids(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return tk.mix(sums[bounds[1:]] - sums[bounds[:-1]] + tk.mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
-def _rows(width: int):
+def _rows(width: int, percent: int):
     def run(batches):
         for batch, a, b, grams, bounds in _sets(batches, width):
             sketches = [sketch(grams[bounds[i] : bounds[i + 1]]) for i in range(b - a)]
+            least = sure(grams, bounds, percent)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(_class_ids(grams, bounds)), pa.array(sketches, pa.binary())],
-                names=["doc", "n", "cls", "sketch"],
+                [batch.column("doc").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(_class_ids(grams, bounds)), pa.array(sketches, pa.binary()), pa.array(least[:, 0]), pa.array(least[:, 1])],
+                names=["doc", "n", "cls", "sketch", "sure0", "sure1"],
             )
 
     return run
@@ -172,8 +196,8 @@ def _signature_blobs(width: int, percent: int, buckets: int):
     return run
 
 
-def _groups(small_group: int, block: int):
-    """From the signatures of one hash range: pairs of small groups, and members of large ones by block pair."""
+def _groups(small_group: int):
+    """From the signatures of one hash range: pairs of small groups with how many they share, and members of large groups."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sigs = np.concatenate([blobs.unpack_sorted(x) for x in pdf["sigs"]])
@@ -187,53 +211,57 @@ def _groups(small_group: int, block: int):
         size = np.diff(np.r_[start, len(sigs)])
         keep = np.repeat((size > 1) & (size <= small_group), size)
         s, c = sigs[keep], cls[keep]
-        left, right = [], []
+        left, right, bit = [], [], []
         for d in range(1, small_group):
             same = np.flatnonzero(s[d:] == s[:-d]) if len(s) > d else np.zeros(0, np.int64)
             if not len(same):
                 break
             left.append(c[same])
             right.append(c[same + d])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+            bit.append((s[same] & np.uint64(1)).astype(np.int64))
+        a, b, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, bit))
+        order = np.lexsort((e, b, a))
+        a, b, e = a[order], b[order], e[order]
         new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        out = [pd.DataFrame({"task": np.zeros(new.sum(), np.int64), "a": a[new], "b": b[new]})]
-        for i in np.flatnonzero(size > small_group):
-            members, sig = cls[start[i] : start[i] + size[i]], sigs[start[i]]
-            parts = -(-len(members) // block)
-            for x in range(parts):
-                for y in range(x, parts):
-                    if parts > 1 and x == y and parts > x + 1:
-                        continue  # the pair (x, x + 1) holds block x whole
-                    task = int(tk.mix(np.array([sig + np.uint64(x * 1_000_003 + y)], dtype=np.uint64)).view(np.int64)[0]) or 1
-                    rows = members[x * block : (x + 1) * block] if x == y else np.r_[members[x * block : (x + 1) * block], members[y * block : (y + 1) * block]]
-                    out.append(pd.DataFrame({"task": task, "a": rows, "b": 0}))
-        return pd.concat(out, ignore_index=True)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (e[1:] != e[:-1])
+        shared = np.diff(np.r_[np.flatnonzero(new), len(a)]) if len(a) else np.zeros(0, np.int64)
+        pairs = pd.DataFrame({"sig": np.zeros(new.sum(), np.int64), "bit": e[new].astype(np.int32), "a": a[new], "b": b[new], "shared": shared})
+        hot = np.repeat(size > small_group, size)
+        members = pd.DataFrame({"sig": sigs[hot].view(np.int64), "bit": (sigs[hot] & np.uint64(1)).astype(np.int32), "a": cls[hot], "b": 0, "shared": 0})
+        return pd.concat([pairs, members], ignore_index=True)
 
     return run
 
 
 def _large(percent: int, forest: bool):
-    """Pairs of one block pair that sketches can't rule out: a spanning forest of them, or all between two components."""
+    """Pairs of one block pair between two components that sketches can't rule out: a spanning forest of them, the closest first, or all."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "cls"], ignore_index=True)
         size = min(len(x) for x in pdf["sketch"])
         m = np.array([np.frombuffer(folded(x, size).to_bytes(size, "little"), dtype=np.uint64) for x in pdf["sketch"]])
-        n, cls, part = pdf["n"].to_numpy(), pdf["cls"].to_numpy(), pdf["part"].to_numpy().copy()
-        got = []
+        n, part = pdf["n"].to_numpy(), np.unique(pdf["part"], return_inverse=True)[1]
+        left, right, gap = [], [], []
         for i in range(len(n) - 1):
             end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            far = np.bitwise_count(m[i + 1 : end] ^ m[i]).sum(axis=1, dtype=np.int64) <= differences(n[i] + n[i + 1 : end], percent)
-            for j in (np.flatnonzero(far & (part[i + 1 : end] != part[i])) + i + 1).tolist():
-                if forest:
-                    if part[i] == part[j]:
-                        continue
-                    part[part == part[j]] = part[i]
-                got.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
-        return pd.DataFrame(got, columns=["a", "b"], dtype=np.int64)
+            other = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
+            if len(other):
+                far = np.bitwise_count(m[other] ^ m[i]).sum(axis=1, dtype=np.int64)
+                close = far <= differences(n[i] + n[other], percent)
+                left.append(np.full(close.sum(), i))
+                right.append(other[close])
+                gap.append(far[close] / (n[i] + n[other[close]]))
+        i, j, gap = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, gap))
+        if forest and len(i):
+            root, kept = np.arange(part.max() + 1), []
+            for at in np.argsort(gap, kind="stable").tolist():
+                x, y = root[part[i[at]]], root[part[j[at]]]
+                if x != y:
+                    root[root == y] = x
+                    kept.append(at)
+            i, j = i[kept], j[kept]
+        cls, rep = pdf["cls"].to_numpy(), pdf["rep"].to_numpy()
+        return pd.DataFrame({"a": cls[i], "b": cls[j], "rep_a": rep[i], "rep_b": rep[j]})
 
     return run
 
@@ -243,7 +271,7 @@ def _screen(percent: int):
         for batch in batches:
             cols = {k: batch.column(k).to_pylist() for k in ("n_a", "s_a", "n_b", "s_b")}
             keep = [may_match(*x, percent) for x in zip(cols["n_a"], cols["s_a"], cols["n_b"], cols["s_b"], strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -259,7 +287,7 @@ def _wanted_sets(width: int, bitmap):
             for part, a, b, grams, bounds in _sets([batch], width):
                 short = grams >> np.uint64(64 - SET_BITS)
                 packed = [blobs.pack_sorted(short[bounds[i] : bounds[i + 1]]) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([part.column("doc").slice(a, b - a), pa.array(_class_ids(grams, bounds)), pa.array(packed, pa.binary())], names=["doc", "cls", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc").slice(a, b - a), pa.array(_class_ids(grams, bounds)), pa.array(packed, pa.binary())], names=["rep", "cls", "grams"])
 
     return run
 
@@ -281,6 +309,31 @@ def _verify(percent: int):
 FILTER_BITS = 1 << 23
 
 
+def _sets_of(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``rep, grams``: the packed sets of the documents named in ``wanted``; only their sets are shuffled, no text."""
+    spark = source.sparkSession
+    wanted = stored(wanted, "wanted")
+    spot = lambda name: F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    # The filter has a fixed size, whatever the input.  Bucket numbers and positions count from 1.
+    maps = wanted.select((spot("rep") + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m")).collect()
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for k, m in maps:
+        bits[(k - 1) * 4096 : k * 4096] |= np.frombuffer(m, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+    sets = source.where("doc is not null").withColumn("spot", spot("doc")).mapInArrow(_wanted_sets(width, shared), "rep long, cls long, grams binary")
+    return stored(sets.join(wanted, ["rep", "cls"], "left_semi").groupBy("rep", "cls").agg(F.min("grams").alias("grams")), "sets")
+
+
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """``task, cls``: members of each group of two and more, by pairs of blocks of at most ``block`` members."""
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("cls")) - 1
+    sizes = members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    placed = members.withColumn("at", F.floor(place / block)).join(sizes, "sig").withColumn("blocks", F.ceil(F.col("size") / block))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    both = placed.select("sig", "cls", "at", other)
+    return both.select(F.xxhash64("sig", F.least("at", "other"), F.greatest("at", "other")).alias("task"), "cls")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, small_group: int = SMALL_GROUP, block: int = BLOCK
 ) -> DataFrame:
@@ -288,55 +341,71 @@ def near_duplicates(
 
     Two rows link when their shingle sets have a Jaccard similarity of ``percent`` or more; ``component_id`` is
     the smallest key reachable by links, the row's own included.  Null and empty texts have an empty set, no
-    class and are linked with nothing.  Rows with the same key are nodes of their own that share a name, equal
-    texts link, and a row without a key takes its class's component (null if no row of it has a key).  An empty
+    class and are linked with nothing.  Rows with one key and several texts each take the component of their own
+    text; a row without a key takes its class's component (null if no row of it has a key).  An empty
     table gives no rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = stored(source.mapInArrow(_rows(width), "doc long, n long, cls long, sketch binary"), "shingle-rows")
+    rows = stored(source.mapInArrow(_rows(width, percent), "doc long, n long, cls long, sketch binary, sure0 long, sure1 long"), "shingle-rows")
     named = rows.where("n > 0 and doc is not null")
-    classes = stored(named.groupBy("cls").agg(F.min(F.struct("doc", "n", "sketch")).alias("r")).select("cls", F.col("r.doc").alias("rep"), "r.n", "r.sketch"), "shingle-classes")
+    classes = named.groupBy("cls").agg(F.min(F.struct("doc", "n", "sketch", "sure0", "sure1")).alias("r")).select("cls", F.col("r.doc").alias("rep"), "r.n", "r.sketch", "r.sure0", "r.sure1")
     sent = source.where("doc is not null").mapInArrow(_signature_blobs(width, percent, shuffle_partitions(spark)), "bucket int, sigs binary, at binary, names binary")
-    found = stored(sent.groupBy("bucket").applyInPandas(_groups(small_group, block), "task long, a long, b long"), "candidates")
-    left, right = (classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    members = found.where("task <> 0").select("task", F.col("a").alias("cls")).join(classes.select("cls", "n", "sketch", "rep"), "cls")
-
-    def spot_of(name: str):
-        return F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    found = stored(sent.groupBy("bucket").applyInPandas(_groups(small_group), "sig long, bit int, a long, b long, shared long"), "candidates")
+    # What a set shares with a similar one can't all be in large groups if it has fewer signatures there than they are sure to share.
+    large = found.where("shared = 0")
+    hot = large.groupBy("a").agg(F.count_if(F.col("bit") == 0).alias("hot0"), F.count_if(F.col("bit") == 1).alias("hot1")).withColumnRenamed("a", "cls")
+    classes = classes.join(hot, "cls", "left").fillna(0, ["hot0", "hot1"])
+    classes = stored(classes.select("cls", "rep", "n", "sketch", *((F.col(f"sure{i}") - F.col(f"hot{i}")).alias(f"need{i}") for i in (0, 1))), "shingle-classes")
+    sides = [classes.select(*(F.col(c).alias({"cls": x}.get(c, f"{c}_{x}")) for c in ("cls", "rep", "n", "sketch", "need0", "need1"))) for x in "ab"]
+    pairs = found.where("shared > 0").groupBy("a", "b").agg(*(F.sum(F.when(F.col("bit") == i, F.col("shared")).otherwise(0)).alias(f"shared{i}") for i in (0, 1)))
+    enough = [(F.col(f"shared{i}") > 0) & (F.col(f"shared{i}") >= F.greatest(f"need{i}_a", f"need{i}_b")) for i in (0, 1)]
+    pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(enough[0] | enough[1])
+    own = classes.select(F.col("cls").alias("a"), "need0", "need1")
+    members = large.join(own, "a").where(F.when(F.col("bit") == 0, F.col("need0")).otherwise(F.col("need1")) <= 0)
+    members = stored(members.select("sig", F.col("a").alias("cls")), "members")
+    leader = members.groupBy("sig").agg(F.min("cls").alias("a"))
+    stars = members.join(leader, "sig").select("a", F.col("cls").alias("b")).where("a <> b").distinct().join(sides[0], "a").join(sides[1], "b")
+    wide = ["a", "b", "rep_a", "rep_b", "n_a", F.col("sketch_a").alias("s_a"), "n_b", F.col("sketch_b").alias("s_b")]
+    pair = "a long, b long, rep_a long, rep_b long"
+    pairs = stored(pairs.select(*wide).unionByName(stars.select(*wide)).mapInArrow(_screen(percent), pair), "pairs")
+
+    def ends(some: DataFrame) -> DataFrame:
+        return some.select(F.col("a").alias("cls"), F.col("rep_a").alias("rep")).union(some.select("b", "rep_b")).distinct()
+
+    def verified(some: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between representatives."""
-        pairs = stored(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = stored(wanted.join(classes.select("cls", "rep"), "cls"), "wanted")
-        # The filter has a fixed size, whatever the input.  Bucket numbers and positions count from 1.
-        spots = wanted.select((spot_of("rep") + 1).alias("x"))
-        maps = spots.groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("m")).collect()
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for k, m in maps:
-            bits[(k - 1) * 4096 : k * 4096] |= np.frombuffer(m, dtype=np.uint8)
-        shared = spark.sparkContext.broadcast(bits)
-        with_spot = source.where("doc is not null").withColumn("spot", spot_of("doc"))
-        sets = with_spot.mapInArrow(_wanted_sets(width, shared), "doc long, cls long, grams binary")
-        sets = stored(sets.join(wanted.select("cls", F.col("rep").alias("doc")), ["cls", "doc"]).dropDuplicates(["cls"]).select("cls", "doc", "grams"), "sets")
-        a = sets.select(F.col("cls").alias("a"), F.col("doc").alias("rep_a"), F.col("grams").alias("g_a"))
-        b = sets.select(F.col("cls").alias("b"), F.col("doc").alias("rep_b"), F.col("grams").alias("g_b"))
-        kept = pairs.join(b, "b").join(a, "a").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "g_a", "g_b").mapInArrow(_verify(percent), "a long, b long")
-        out = stored(kept, "edges")
-        for t in (pairs, wanted, sets):
-            drop_table(spark, t)
-        return out
-
-    small = found.where("task = 0").select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_screen(percent), "a long, b long")
-    trees = members.withColumn("part", F.col("cls")).groupBy("task").applyInPandas(_large(percent, True), "a long, b long")
-    edges = verified(small.unionByName(trees))
-    group = components(edges)
-    if not found.where("task <> 0").isEmpty():
-        group = stored(group, "groups")
-        parted = members.join(group, members["rep"] == group["node"], "left").select("task", "cls", "n", "sketch", F.coalesce("component", "rep").alias("part"))
-        crossing = verified(parted.groupBy("task").applyInPandas(_large(percent, False), "a long, b long"))
-        group = components(edges.unionByName(crossing))
+        g_a, g_b = (sets.select(F.col("cls").alias(x), F.col("grams").alias(f"g_{x}")) for x in "ab")
+        both = some.join(g_b, "b").join(g_a, "a").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "g_a", "g_b")
+        return stored(both.mapInArrow(_verify(percent), "a long, b long"), "edges")
+
+    def joined(df: DataFrame, column: str, groups: DataFrame) -> DataFrame:
+        """``df`` with the component of one of its columns."""
+        named = groups.select(F.col("node").alias(column), F.col("component").alias(f"part_{column}"))
+        return df.join(named, column, "left").withColumn(f"part_{column}", F.coalesce(f"part_{column}", column))
+
+    # First one link a document, then all that still cross two components, then large groups in the same two steps.
+    sets = _sets_of(source, ends(pairs), width)
+    edges = verified(pairs.groupBy("b").agg(F.min(F.struct("a", "rep_a", "rep_b")).alias("x")).select("b", "x.*"), sets)
+    group = stored(components(edges), "groups")
+    crossing = joined(joined(pairs, "rep_a", group), "rep_b", group).where("part_rep_a <> part_rep_b").select("a", "b", "rep_a", "rep_b").distinct()
+    more = verified(crossing, sets)
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        group = stored(components(edges), "groups")
+    if not members.isEmpty():
+        blocks = stored(_in_blocks(members, block), "members").join(classes.select("cls", "rep", "n", "sketch"), "cls")
+        for forest in (True, False):
+            inside = joined(blocks, "rep", group).withColumnRenamed("part_rep", "part")
+            unsettled = inside.groupBy("task").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("task")
+            inside = inside.join(unsettled, "task", "left_semi").select("task", "cls", "rep", "n", "sketch", "part")
+            late = stored(inside.groupBy("task").applyInPandas(_large(percent, forest), pair).distinct(), "pairs")
+            if late.isEmpty():
+                break
+            more = verified(late, _sets_of(source, ends(late), width))
+            if not more.isEmpty():
+                edges = edges.unionByName(more)
+                group = stored(components(edges), "groups")
     named_group = classes.select("cls", "rep").join(group, classes["rep"] == group["node"], "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named_group, "cls", "left")
     kind = docs.schema[key].dataType
