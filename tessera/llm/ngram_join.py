@@ -44,7 +44,7 @@ WIDTH, PERCENT = 5, 75
 SLACK = 1.4
 SMALL_GROUP, BLOCK = 16, 2048
 #: Signatures that a task holds before it sends them off.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 SET_BITS = 48
 
 
@@ -233,26 +233,38 @@ def _groups(small_group: int):
     return run
 
 
-def _large(percent: int, forest: bool):
-    """Pairs of one block pair between two components that sketches can't rule out: a spanning forest of them, the closest first, or all."""
+#: 64-bit words of sketches compared at once.
+AT_ONCE = 1 << 19
+
+
+def _large(percent: int, every: bool):
+    """Pairs of one block pair between two components that sketches can't rule out.
+
+    ``every`` or few: all of them.  Else a spanning forest of them, the closest first, and ``task`` says that there are more.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "cls"], ignore_index=True)
-        size = min(len(x) for x in pdf["sketch"])
-        m = np.array([np.frombuffer(folded(x, size).to_bytes(size, "little"), dtype=np.uint64) for x in pdf["sketch"]])
-        n, part = pdf["n"].to_numpy(), np.unique(pdf["part"], return_inverse=True)[1]
-        left, right, gap = [], [], []
-        for i in range(len(n) - 1):
-            end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            other = np.flatnonzero(part[i + 1 : end] != part[i]) + i + 1
-            if len(other):
-                far = np.bitwise_count(m[other] ^ m[i]).sum(axis=1, dtype=np.int64)
-                close = far <= differences(n[i] + n[other], percent)
-                left.append(np.full(close.sum(), i))
-                right.append(other[close])
-                gap.append(far[close] / (n[i] + n[other[close]]))
-        i, j, gap = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, gap))
-        if forest and len(i):
+        n, cls, rep = (pdf[c].to_numpy() for c in ("n", "cls", "rep"))
+        order = np.lexsort((cls, n))
+        n, cls, rep, part = n[order], cls[order], rep[order], np.unique(pdf["part"], return_inverse=True)[1][order]
+        sketches = pdf["sketch"].to_numpy()[order]
+        size = min(map(len, sketches))
+        m = np.frombuffer(b"".join(x if len(x) == size else folded(x, size).to_bytes(size, "little") for x in sketches), dtype=np.uint64).reshape(len(n), -1)
+        top = np.searchsorted(n, n * 100 // percent, side="right")
+        found, a, rows = [], 0, max(1, AT_ONCE // (len(n) * m.shape[1]))
+        while a < len(n) - 1:
+            b = min(a + rows, len(n) - 1)
+            i = np.repeat(np.arange(a, b), np.maximum(top[a:b] - np.arange(a, b) - 1, 0))
+            j = np.concatenate([np.arange(x + 1, max(top[x], x + 1)) for x in range(a, b)])
+            cross = part[i] != part[j]
+            i, j = i[cross], j[cross]
+            far = np.bitwise_count(m[i] ^ m[j]).sum(axis=1, dtype=np.int64)
+            close = far <= differences(n[i] + n[j], percent)
+            found.append((i[close], j[close], far[close] / (n[i] + n[j])[close]))
+            a = b
+        i, j, gap = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        more = not every and len(i) > 2 * len(n)
+        if more:
             root, kept = np.arange(part.max() + 1), []
             for at in np.argsort(gap, kind="stable").tolist():
                 x, y = root[part[i[at]]], root[part[j[at]]]
@@ -260,8 +272,7 @@ def _large(percent: int, forest: bool):
                     root[root == y] = x
                     kept.append(at)
             i, j = i[kept], j[kept]
-        cls, rep = pdf["cls"].to_numpy(), pdf["rep"].to_numpy()
-        return pd.DataFrame({"a": cls[i], "b": cls[j], "rep_a": rep[i], "rep_b": rep[j]})
+        return pd.DataFrame({"a": cls[i], "b": cls[j], "rep_a": rep[i], "rep_b": rep[j], "task": np.full(len(i), pdf["task"].iloc[0] if more else 0)})
 
     return run
 
@@ -296,8 +307,9 @@ def _verify(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("g_a").to_pylist(), batch.column("g_b").to_pylist(), strict=True):
-                x, y = blobs.unpack_sorted(x), blobs.unpack_sorted(y)
+            left, right = batch.column("g_a"), batch.column("g_b")
+            for i in range(batch.num_rows):
+                x, y = blobs.unpack_sorted(left[i].as_py()), blobs.unpack_sorted(right[i].as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -350,7 +362,7 @@ def near_duplicates(
     rows = stored(source.mapInArrow(_rows(width, percent), "doc long, n long, cls long, sketch binary, sure0 long, sure1 long"), "shingle-rows")
     named = rows.where("n > 0 and doc is not null")
     classes = named.groupBy("cls").agg(F.min(F.struct("doc", "n", "sketch", "sure0", "sure1")).alias("r")).select("cls", F.col("r.doc").alias("rep"), "r.n", "r.sketch", "r.sure0", "r.sure1")
-    sent = source.where("doc is not null").mapInArrow(_signature_blobs(width, percent, shuffle_partitions(spark)), "bucket int, sigs binary, at binary, names binary")
+    sent = source.where("doc is not null").mapInArrow(_signature_blobs(width, percent, 2 * shuffle_partitions(spark)), "bucket int, sigs binary, at binary, names binary")
     found = stored(sent.groupBy("bucket").applyInPandas(_groups(small_group), "sig long, bit int, a long, b long, shared long"), "candidates")
     # What a set shares with a similar one can't all be in large groups if it has fewer signatures there than they are sure to share.
     large = found.where("shared = 0")
@@ -395,17 +407,20 @@ def near_duplicates(
         group = stored(components(edges), "groups")
     if not members.isEmpty():
         blocks = stored(_in_blocks(members, block), "members").join(classes.select("cls", "rep", "n", "sketch"), "cls")
-        for forest in (True, False):
-            inside = joined(blocks, "rep", group).withColumnRenamed("part_rep", "part")
+        chosen = None
+        for every in (False, True):
+            inside = joined(blocks if chosen is None else blocks.join(chosen, "task", "left_semi"), "rep", group).withColumnRenamed("part_rep", "part")
             unsettled = inside.groupBy("task").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("task")
             inside = inside.join(unsettled, "task", "left_semi").select("task", "cls", "rep", "n", "sketch", "part")
-            late = stored(inside.groupBy("task").applyInPandas(_large(percent, forest), pair).distinct(), "pairs")
-            if late.isEmpty():
-                break
-            more = verified(late, _sets_of(source, ends(late), width))
+            late = stored(inside.groupBy("task").applyInPandas(_large(percent, every), f"{pair}, task long"), "pairs")
+            linked = late.drop("task").distinct()
+            more = verified(linked, _sets_of(source, ends(linked), width))
             if not more.isEmpty():
                 edges = edges.unionByName(more)
                 group = stored(components(edges), "groups")
+            chosen = late.where("task <> 0").select("task").distinct()
+            if chosen.isEmpty():
+                break
     named_group = classes.select("cls", "rep").join(group, classes["rep"] == group["node"], "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named_group, "cls", "left")
     kind = docs.schema[key].dataType
