@@ -16,6 +16,17 @@ def stage(spark, name, rows):
     return dict(corpus_pipeline.STAGES)[name](spark, docs, "")
 
 
+# -- languages ------------------------------------------------------------------------------------
+
+
+def test_documents_stay_without_a_learned_language(spark):
+    long = "word " * 5000
+    for rows in ([(1, "some words", None, "s"), (2, "123 !", None, "s"), (3, None, None, "s")], [(1, long, "en", "s"), (2, "", "en", "s"), (4, "few words", None, "s")]):
+        got = {r.doc_id: r.lang for r in stage(spark, "language_id", rows).collect()}
+        assert set(got) == {i for i, t, _, _ in rows if t and any(c.isalpha() for c in t)}
+        assert got[1] == rows[0][2]
+
+
 # -- near duplicates ------------------------------------------------------------------------------
 
 
