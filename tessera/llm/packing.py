@@ -7,8 +7,9 @@ bitmaps carry neither the piece's source nor its duplicate cluster.  So it is
 the tightest compatible bin; without one, a new bin opens.
 
 Documents are dealt to independent packing groups of bounded size by a hash of
-their key; a bin never spans groups, so the constraints hold everywhere and no
-task grows with the input or with a hot source or cluster.
+their key, or with an order column in ranges of that order; a bin never spans
+groups, so the constraints hold everywhere and no task grows with the input or
+with a hot source or cluster.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD
 
 GROUP_ROWS = 8192
+#: Positions of an order that stay together; groups are made of whole cells.
+CELL = 1024
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
@@ -50,6 +53,23 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int
     return placed
 
 
+def measured(docs: DataFrame, text: str = "text", cluster: str | None = None) -> DataFrame:
+    """``docs`` with ``__tokens`` and ``__cluster`` in place of the text: all that ``pack`` needs of it."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    same = F.col(cluster).cast("string") if cluster else F.when(F.trim(body) != "", F.md5(F.trim(F.regexp_replace(F.lower(body), r"\s+", " ")).cast("binary")))
+    return docs.withColumns({"__tokens": F.regexp_count(body, F.lit(WORD)).cast("long"), "__cluster": same}).drop(text)
+
+
+def _ranges(docs: DataFrame, order: str, group_rows: int) -> DataFrame:
+    """``docs`` and ``__group``: consecutive ranges of ``order`` (distinct, from 0) with about ``group_rows`` rows each."""
+    cell = min(CELL, group_rows)
+    docs = docs.withColumn("__cell", F.floor(F.col(order) / cell))
+    sizes = docs.groupBy("__cell").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.select("__cell", F.floor(before / group_rows).cast("int").alias("__group"))
+    return docs.join(F.broadcast(groups), "__cell").drop("__cell")
+
+
 def pack(
     docs: DataFrame,
     key: str = "doc_id",
@@ -58,25 +78,28 @@ def pack(
     cluster: str | None = None,
     capacity: int = 2048,
     group_rows: int = GROUP_ROWS,
+    order: str | None = None,
 ) -> DataFrame:
     """Rows ``key, piece, bin_id, bin_offset, n_tokens``: each piece of each document and its place.
 
     Tokens are words.  Without a ``cluster`` column the cluster is the text itself, up to case and white space.
     Pieces of one document never share a bin.  Null and empty texts have one piece of no tokens and no cluster; it
     takes a place in a bin like any other.  A null source, and a null cluster, conflicts with nothing.  Repeated rows
-    are packed one by one.  An empty table gives no rows.
+    are packed one by one.  An empty table gives no rows.  ``docs`` may be ``measured`` before.
+
+    With an ``order`` column of distinct positions, groups are consecutive ranges of it, and so are their bin ids; within
+    a group bins are numbered by the first position in them.
     """
-    groups = max(1, -(-docs.count() // group_rows))
-    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    body = F.coalesce(F.col(text), F.lit(""))
-    same = F.col(cluster).cast("string") if cluster else F.when(F.trim(body) != "", F.md5(F.trim(F.regexp_replace(F.lower(body), r"\s+", " ")).cast("binary")))
-    rows = docs.select(
-        F.col(key).alias("k"),
-        F.regexp_count(body, F.lit(WORD)).cast("long").alias("n"),
-        F.col(source).cast("string").alias("s"),
-        same.alias("c"),
-        F.pmod(F.xxhash64(k), F.lit(groups)).cast("int").alias("g"),
-    )
+    if "__tokens" not in docs.columns:
+        docs = measured(docs, text, cluster)
+    if order:
+        docs = _ranges(docs, order, group_rows)
+        group, place = F.col("__group"), F.col(order).cast("long")
+    else:
+        groups = max(1, -(-docs.count() // group_rows))
+        k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+        group, place = F.pmod(F.xxhash64(k), F.lit(groups)).cast("int"), F.lit(0).cast("long")
+    rows = docs.select(F.col(key).alias("k"), F.col("__tokens").alias("n"), F.col(source).cast("string").alias("s"), F.col("__cluster").alias("c"), group.alias("g"), place.alias("p"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "k"], ascending=[False, True], kind="stable", ignore_index=True)
@@ -96,6 +119,9 @@ def pack(
         for (b, offset), (rest, _, _, i, piece) in zip(best_fit([t[:3] for t in tails], capacity), tails, strict=True):
             out.append((i, piece, whole + b, offset, rest))
         got = pd.DataFrame(out, columns=["i", "piece", "bin", "bin_offset", "n_tokens"])
+        if order:
+            first = pd.Series(pdf["p"].to_numpy()[got["i"]]).groupby(got["bin"]).min().sort_values(kind="stable")
+            got["bin"] = got["bin"].map(pd.Series(range(len(first)), index=first.index))
         return pd.DataFrame(
             {
                 "key": pdf["k"].take(got["i"]).to_numpy(),

@@ -1,8 +1,9 @@
 """Stages of the pipeline on rows that the tables do not have."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+from tessera.llm import mixing, packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,3 +44,37 @@ def test_a_hot_id_keeps_its_texts(spark):
     rows = [(5, text(k), None, "s") for k in range(40)] + [(100 + k, text(40 + k), None, "s") for k in range(80)]
     got = stage(spark, "near_duplicates", rows + [(1, text(0), None, "s")]).collect()
     assert len(got) == 120 and sum(r.doc_id == 5 for r in got) == 39
+
+
+# -- mixing and packing -----------------------------------------------------------------------------
+
+
+def test_sequences_follow_the_mixture(spark):
+    rows = [(i, text(i, 5), None, f"s{min(i % 10, 2)}") for i in range(3000)]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, lang, s in rows], DOCS)
+    position = {r.doc_id: r.mix_position for r in mixing.mix(docs).select("doc_id", "mix_position").collect()}
+    got = packing.pack(mixing.mix(packing.measured(docs)), order="mix_position", group_rows=256).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in rows)
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.bin_id >> 32].append(r)
+    last = -1
+    for g in sorted(groups):
+        at = [position[r.doc_id] for r in groups[g]]
+        assert min(at) > last and len(at) <= 512
+        last = max(at)
+        first = defaultdict(list)
+        for r in groups[g]:
+            first[r.bin_id].append(position[r.doc_id])
+        starts = [min(first[b]) for b in sorted(first)]
+        assert starts == sorted(starts)
+
+
+def test_mixture_decides_the_pipelines_sequences(spark):
+    rows = [(i, text(i, 5), None, f"s{min(i % 10, 2)}") for i in range(2000)]
+    position = {r.doc_id: r.mix_position for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    bins = defaultdict(list)
+    for r in stage(spark, "best_fit_packing", rows).collect():
+        bins[r.bin_id].append(position[r.doc_id])
+    starts = [min(bins[b]) for b in sorted(bins)]
+    assert starts == sorted(starts)
