@@ -38,21 +38,23 @@ DICTIONARY = [
     "string", "submit", "summary", "support", "system", "table", "target", "task", "template", "test", "text", "time", "token", "total",
     "type", "update", "upload", "user", "value", "version", "view", "window", "worker",
 ]
+#: Quantifiers have no upper bound, so that no part of a value is left, and are possessive, so that a search never goes back.
 KNOWN_FORMATS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{0,20000}-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,20}PRIVATE KEY-----",
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b",
-    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,255}",
-    "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
-    "stripe_key": r"\b[rs]k_live_[0-9A-Za-z]{16,255}",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,4000}",
+    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}+\b",
+    "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}+",
+    "google_key": r"\bAIza[0-9A-Za-z_-]{35,}+",
+    "stripe_key": r"\b[rs]k_live_[0-9A-Za-z]{16,}+",
+    # A start shortly after another of the same run is skipped: both lead to the same dot.  It keeps runs of starts from being searched again and again.
+    "jwt": r"\beyJ(?<!\beyJ[A-Za-z0-9_-]{0,255}eyJ)[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
 }
 _NAMES = "|".join(x.replace("_", "[_]") for x in SECRET_NAMES)
 #: What leads up to an assigned value.  It is part of a match, and counts as context.
 LEAD = rf"(?i:{_NAMES})[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?"
 #: A value next to a telling name, or a run of 20 characters and more with a digit in it.
-ASSIGNED = LEAD + r"[A-Za-z0-9+/_=.!@%^&*~$-]{8,4000}"
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{20,4000}(?![A-Za-z0-9+/_=-])"
+ASSIGNED = LEAD + r"[A-Za-z0-9+/_=.!@%^&*~$-]{8,}+"
+RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 CANDIDATE = "|".join([*KNOWN_FORMATS.values(), ASSIGNED, RUN])
 #: One of these stands in every match: what a text must contain to be searched at all.
 SIGNS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "eyJ", "PRIVATE KEY-----"]
