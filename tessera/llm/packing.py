@@ -7,7 +7,7 @@ bitmaps carry neither the piece's source nor its duplicate cluster.  So it is
 the tightest compatible bin; without one, a new bin opens.
 
 Documents are dealt to independent packing groups of bounded size by a hash of
-their key, or with an order column in ranges of that order; a bin never spans
+their key (of the row, where many rows share a key or have none), or with an order column in ranges of that order; a bin never spans
 groups, so the constraints hold everywhere and no task grows with the input or
 with a hot source or cluster.
 """
@@ -97,8 +97,12 @@ def pack(
         group, place = F.col("__group"), F.col(order).cast("long")
     else:
         groups = max(1, -(-docs.count() // group_rows))
-        k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-        group, place = F.pmod(F.xxhash64(k), F.lit(groups)).cast("int"), F.lit(0).cast("long")
+        docs = docs.withColumn("__k", F.coalesce(F.col(key).cast("string"), F.lit("")))
+        # A key with a good part of a group's rows (no key counts as one) is dealt by rows; there are at most 16 such keys a group.
+        hot = docs.groupBy("__k").agg(F.count("*").alias("__rows")).where(F.col("__rows") > group_rows // 16)
+        docs = docs.withColumn("__salt", F.monotonically_increasing_id()).join(F.broadcast(hot), "__k", "left")
+        salt = F.when(F.col("__rows").isNotNull(), F.col("__salt"))
+        group, place = F.pmod(F.xxhash64("__k", salt), F.lit(groups)).cast("int"), F.lit(0).cast("long")
     rows = docs.select(F.col(key).alias("k"), F.col("__tokens").alias("n"), F.col(source).cast("string").alias("s"), F.col("__cluster").alias("c"), group.alias("g"), place.alias("p"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -78,3 +78,10 @@ def test_mixture_decides_the_pipelines_sequences(spark):
         bins[r.bin_id].append(position[r.doc_id])
     starts = [min(bins[b]) for b in sorted(bins)]
     assert starts == sorted(starts)
+
+
+def test_packing_groups_are_bounded_for_repeated_and_null_keys(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(i, 5), None, f"s{i % 9}", 1) for i in range(6000)]
+    got = packing.pack(spark.createDataFrame(rows, DOCS), group_rows=500).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert max(Counter(r.bin_id >> 32 for r in got).values()) < 800
