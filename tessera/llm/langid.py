@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 ORDER = 4
-#: Training documents of each language at most, and bytes of each of them at most.
+#: Training documents of each language at most, and bytes of each of them where there are enough such.
 TRAIN_DOCS, TRAIN_BYTES = 300, 20_000
-#: Languages at most.
-MAX_LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -161,14 +159,20 @@ def fit(texts: dict[str, list[bytes]], order: int = ORDER) -> Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = TRAIN_DOCS, size: int = TRAIN_BYTES, order: int = ORDER) -> Model:
     """Fit on up to ``docs`` whole documents of each language, picked by a hash of their keys.
 
-    Rows without text or language, empty ones and ones over ``size`` bytes are not used for fitting.
+    Rows without text or language and empty ones are not used for fitting, repeated rows count once.  Texts over ``size``
+    bytes, shortest first, stand in where a language has too few others; all of a language's texts have ``docs * size``
+    bytes at most, but it has one text at least.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.octet_length(text).between(1, size)).select(
-        F.col(key).alias("k"), F.xxhash64(F.col(key)).alias("h"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t")
+    rows = labelled.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(
+        F.xxhash64(F.col(key)).alias("h"), F.xxhash64(F.col(text)).alias("th"), F.col(lang).cast("string").alias("l"), F.octet_length(text).cast("long").alias("b"), F.col(text).alias("t")
     )
-    picked = rows.select("k", "h", "l").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).where(F.col("r") <= docs).select("k", "l").distinct()
-    # At most ``docs`` keys of each language: a bounded side.
-    got = rows.join(F.broadcast(picked), ["k", "l"], "left_semi").select("l", F.col("t").cast("binary").alias("t")).limit(MAX_LANGUAGES * docs * 2).collect()
+    longer = F.when(F.col("b") > size, F.col("b")).otherwise(0)
+    turn = Window.partitionBy("l").orderBy("o", "h", "th")
+    distinct = rows.groupBy("l", "h", "th").agg(F.min("b").alias("b")).withColumn("o", longer)
+    first = distinct.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= docs)
+    picked = first.withColumn("sum", F.sum("b").over(turn.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("r") == 1) | (F.col("sum") <= docs * size)).select("l", "h", "th")
+    # At most ``docs`` rows of each language: a bounded side.
+    got = rows.join(F.broadcast(picked), ["l", "h", "th"], "left_semi").groupBy("l", "h", "th").agg(F.min("t").alias("t")).select("l", F.col("t").cast("binary").alias("t")).collect()
     texts: dict[str, list[bytes]] = {}
     for row in sorted(got):
         texts.setdefault(row.l, []).append(bytes(row.t))

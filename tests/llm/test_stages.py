@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from tessera.llm import mixing, packing
+from tessera.llm import langid, mixing, packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,6 +28,15 @@ def test_documents_stay_without_a_learned_language(spark):
         assert got[1] == rows[0][2]
 
 
+def test_languages_are_learned_from_long_texts_and_distinct_rows(spark):
+    rows = [(i, "kurze worte " + str(i), "de", "s", 1) for i in range(5)] + [(9, "immer gleich", "de", "s", 1)] * 400
+    rows += [(20 + i, "quite long words " * (1500 + i), "en", "s", 1) for i in range(3)] + [(None, "sans cle", "fr", "s", 1)]
+    model = langid.train(spark.createDataFrame(rows, DOCS), docs=6)
+    assert model.languages == ["de", "en", "fr"]
+    got = langid.predict(spark.createDataFrame([(1, "quite long", None, "s", 1), (2, "kurze worte", None, "s", 1)], DOCS), model).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == ["en", "de"]
+
+
 # -- near duplicates ------------------------------------------------------------------------------
 
 
