@@ -7,9 +7,10 @@ bitmaps carry neither the piece's source nor its duplicate cluster.  So it is
 the tightest compatible bin; without one, a new bin opens.
 
 Documents are dealt to independent packing groups of bounded size by a hash of
-their key (of the row, where many rows share a key or have none), or with an order column in ranges of that order; a bin never spans
-groups, so the constraints hold everywhere and no task grows with the input or
-with a hot source or cluster.
+their key (of the row, where many rows share a key or have none), or with an
+order column in ranges of that order; a bin never spans groups, so the
+constraints hold everywhere and no task grows with the input or with a hot
+source or cluster.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD
 
 GROUP_ROWS = 8192
-#: Positions of an order that stay together; groups are made of whole cells.
-CELL = 1024
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
@@ -60,16 +61,6 @@ def measured(docs: DataFrame, text: str = "text", cluster: str | None = None) ->
     return docs.withColumns({"__tokens": F.regexp_count(body, F.lit(WORD)).cast("long"), "__cluster": same}).drop(text)
 
 
-def _ranges(docs: DataFrame, order: str, group_rows: int) -> DataFrame:
-    """``docs`` and ``__group``: consecutive ranges of ``order`` (distinct, from 0) with about ``group_rows`` rows each."""
-    cell = min(CELL, group_rows)
-    docs = docs.withColumn("__cell", F.floor(F.col(order) / cell))
-    sizes = docs.groupBy("__cell").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = sizes.select("__cell", F.floor(before / group_rows).cast("int").alias("__group"))
-    return docs.join(F.broadcast(groups), "__cell").drop("__cell")
-
-
 def pack(
     docs: DataFrame,
     key: str = "doc_id",
@@ -87,14 +78,14 @@ def pack(
     takes a place in a bin like any other.  A null source, and a null cluster, conflicts with nothing.  Repeated rows
     are packed one by one.  An empty table gives no rows.  ``docs`` may be ``measured`` before.
 
-    With an ``order`` column of distinct positions, groups are consecutive ranges of it, and so are their bin ids; within
-    a group bins are numbered by the first position in them.
+    With an ``order`` column of distinct positions from 0, a group is a range of ``group_rows`` positions (gaps leave it
+    smaller) and bin ids follow the ranges; within a group bins are numbered by the first position in them.
     """
     if "__tokens" not in docs.columns:
         docs = measured(docs, text, cluster)
     if order:
-        docs = _ranges(docs, order, group_rows)
-        group, place = F.col("__group"), F.col(order).cast("long")
+        place = F.col(order).cast("long")
+        group = F.floor(place / group_rows).cast("int")
     else:
         groups = max(1, -(-docs.count() // group_rows))
         docs = docs.withColumn("__k", F.coalesce(F.col(key).cast("string"), F.lit("")))
@@ -105,8 +96,10 @@ def pack(
         group, place = F.pmod(F.xxhash64("__k", salt), F.lit(groups)).cast("int"), F.lit(0).cast("long")
     rows = docs.select(F.col(key).alias("k"), F.col("__tokens").alias("n"), F.col(source).cast("string").alias("s"), F.col("__cluster").alias("c"), group.alias("g"), place.alias("p"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "k"], ascending=[False, True], kind="stable", ignore_index=True)
+    def run(table: pa.Table) -> pa.Table:
+        # Keys stay in Arrow: in pandas a null among them would make doubles of integers.
+        table = table.take(pc.sort_indices(table, sort_keys=[("n", "descending"), ("k", "ascending"), ("p", "ascending"), ("s", "ascending"), ("c", "ascending")]))
+        pdf = table.drop_columns(["k"]).to_pandas()
         source_bit = {s: 1 << i for i, s in enumerate(sorted(pdf["s"].dropna().unique()))}
         counts = pdf["c"].value_counts()
         cluster_bit = {c: 1 << i for i, c in enumerate(sorted(counts.index[counts > 1]))}
@@ -126,16 +119,16 @@ def pack(
         if order:
             first = pd.Series(pdf["p"].to_numpy()[got["i"]]).groupby(got["bin"]).min().sort_values(kind="stable")
             got["bin"] = got["bin"].map(pd.Series(range(len(first)), index=first.index))
-        return pd.DataFrame(
+        return pa.table(
             {
-                "key": pdf["k"].take(got["i"]).to_numpy(),
-                "piece": got["piece"],
-                "bin_id": (int(pdf["g"].iloc[0]) << 32) + got["bin"],
-                "bin_offset": got["bin_offset"],
-                "n_tokens": got["n_tokens"],
+                "key": table.column("k").take(pa.array(got["i"], pa.int64())),
+                "piece": pa.array(got["piece"], pa.int32()),
+                "bin_id": pa.array((int(pdf["g"].iloc[0]) << 32) + got["bin"], pa.int64()),
+                "bin_offset": pa.array(got["bin_offset"], pa.int64()),
+                "n_tokens": pa.array(got["n_tokens"], pa.int64()),
             }
         )
 
     kind = docs.schema[key].dataType.simpleString()
-    packed = rows.groupBy("g").applyInPandas(run, f"key {kind}, piece int, bin_id long, bin_offset long, n_tokens long")
+    packed = rows.groupBy("g").applyInArrow(run, f"key {kind}, piece int, bin_id long, bin_offset long, n_tokens long")
     return packed.withColumnRenamed("key", key)

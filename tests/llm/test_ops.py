@@ -289,6 +289,32 @@ def test_packing_keeps_tokens_room_and_conflicts(spark, sf_dir):
     check_bins(docs, packing.pack(docs, capacity=256, group_rows=64), 256)
 
 
+def test_packing_keeps_large_ids_beside_a_null(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, None, None]
+    got = packing.pack(spark.createDataFrame([(i, f"text {i}", "s") for i in ids], "doc_id long, text string, source string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+    by_name = packing.pack(spark.createDataFrame([(n, "a b", None) for n in ("x", "", None)], "doc_id string, text string, source string")).collect()
+    assert Counter(r.doc_id for r in by_name) == Counter(["x", "", None])
+
+
+def test_packing_against_a_plain_best_fit(spark):
+    """Bins by trying every bin for every piece, longest first."""
+    rows_ = [(i, " ".join(f"w{i % 40}" for _ in range(1 + i * 37 % 90)), f"s{i % 23}" if i % 5 else None) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows_, "doc_id long, text string, source string"), capacity=100, group_rows=1000).collect()
+    left, held, want = [], [], {}
+    for i, t, s in sorted(rows_, key=lambda r: (-len(r[1].split()), r[0])):
+        n, marks = len(t.split()), {t} | ({("s", s)} if s else set())
+        fits = [b for b in range(len(left)) if left[b] >= n and not held[b] & marks]
+        b = min(fits, key=lambda b: (left[b], b), default=len(left))
+        if b == len(left):
+            left.append(100)
+            held.append(set())
+        want[i] = b, 100 - left[b]
+        left[b] -= n
+        held[b] |= marks
+    assert {r.doc_id: (r.bin_id, r.bin_offset) for r in got} == want
+
+
 def test_packing_awkward(awkward, empty):
     check_bins(awkward, packing.pack(awkward, capacity=64), 64)
     assert packing.pack(empty).count() == 0
@@ -473,25 +499,51 @@ def test_language_awkward(awkward, empty):
 # -- 9: mixing ---------------------------------------------------------------------------------------
 
 
+def check_mixture(got, weights):
+    """Every prefix before the first source runs out is less than one block away from the given weights."""
+    slots = defaultdict(set)
+    for r in got:
+        slots[r.source].add((r.mix_block, r.mix_slot))
+        assert r.mix_release <= r.mix_slot < r.mix_deadline
+    order = sorted((slot, s) for s, v in slots.items() for _, slot in v)
+    assert [slot for slot, _ in order] == list(range(len(order)))  # no empty slot
+    last = min(max(slot for _, slot in v) for v in slots.values())
+    total, done = sum(weights.values()), Counter()
+    for slot, s in order[: last + 1]:
+        done[s] += 1
+        assert all(abs(done[x] - w / total * (slot + 1)) < 1 for x, w in weights.items())
+    return order
+
+
 def test_mixing_stays_within_a_block(spark):
     docs = spark.createDataFrame([(i, "abc"[(i % 7) // 3] if i % 11 else None) for i in range(3000)], "doc_id long, source string")
-    got = mixing.mix(docs, block_rows=4, period=50).collect()
+    got = mixing.mix(docs, block_rows=4).collect()
     assert len(got) == 3000 and len({r.mix_position for r in got}) == 3000
-    assert all(r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
-    share = {}
-    for r in got:
-        share.setdefault(r.source, set()).add((r.mix_block, r.mix_slot))
-    period = {s: [x for x in sorted(b for _, b in v)] for s, v in share.items()}
-    first_out = min(max(v) for v in period.values())
-    p = {s: sum(1 for x in v if x < 50) for s, v in period.items()}
-    assert sum(p.values()) == 50
-    for t in range(1, first_out):
-        assert all(abs(sum(1 for x in v if x < t) - p[s] * t / 50) < 1 for s, v in period.items())
+    assert max(r.mix_position for r in got) < 3000 + 4 * 4
+    check_mixture(got, {s: n**0.7 for s, n in Counter(r.source for r in got).items()})
+
+
+def test_mixing_does_not_drift_from_the_given_weights(spark):
+    rows_ = spark.range(150_000).selectExpr("id doc_id", "if(id % 3 = 0, 'a', 'b') source")
+    order = check_mixture(mixing.mix(rows_, block_rows=1, weights={"a": 0.33351, "b": 0.66649}).collect(), {"a": 0.33351, "b": 0.66649})
+    assert abs(sum(s == "a" for _, s in order[:100_000]) - 33_351) < 1
+
+
+def test_mixing_goes_on_when_a_source_runs_out(spark):
+    docs = spark.createDataFrame([(i, "aabbbbcccccc0"[i % 13]) for i in range(1300)], "doc_id long, source string")
+    got = mixing.mix(docs, block_rows=1, weights={"a": 4, "b": 2, "c": 1, "d": 9}).collect()
+    order = [s for _, s in check_mixture(got, {"a": 4, "b": 2, "c": 1})]
+    out = order.index("0")
+    assert order[out:] == ["0"] * 100  # weight 0: after all others
+    rest = order[max(i for i, s in enumerate(order) if s == "a") + 1 : out]
+    assert all(abs(rest[:t].count("b") - t * 2 / 3) < 1 for t in range(1, max(i for i, s in enumerate(rest) if s == "b")))
+    small = mixing.mix(docs, block_rows=1, slots=100).collect()
+    assert len({r.mix_slot for r in small}) <= 104 and len({r.mix_position for r in small}) == 1300
 
 
 def test_mixing_targets_and_sql(spark, sf_dir):
     docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(400)], "doc_id long, source string")
-    got = mixing.mix(docs, block_rows=1, period=4, weights={"a": 3.0, "b": 1.0}).where("mix_slot < 40").groupBy("source").count().collect()
+    got = mixing.mix(docs, block_rows=1, weights={"a": 3.0, "b": 1.0}).where("mix_slot < 40").groupBy("source").count().collect()
     assert {r.source: r["count"] for r in got} == {"a": 30, "b": 10}
     assert rows(registry.op9_pfair_mixing(spark, sf_dir).toPandas()) == rows(connect(sf_dir).execute(registry.oracle_sql()["op9_pfair_mixing"]).df())
 
