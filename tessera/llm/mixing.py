@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Parts that all weights together have.
 SCALE = 1 << 32
-#: Blocks of a plan at most (and one more a source), and how many of them a fold appends to one array.
-SLOTS, CHUNK = 1 << 20, 512
+#: Blocks of a plan at most (and one more a source), and how many of them a fold appends to one array at each of its levels.
+SLOTS, CHUNK = 1 << 20, 100
 #: Leading hexadecimal digits of the order key that split each source, so that no task ranks a whole source.
 DIGITS = 3
 
@@ -59,7 +59,7 @@ def shares(totals: DataFrame, temperature: float, weights: dict[str, float] | No
 
 
 def schedule(share: DataFrame, block_rows: int, slots: int = SLOTS) -> DataFrame:
-    """The earliest-deadline-first schedule: ``src, rows, plan``, the rows of a block and ``slot, release, deadline`` of each block of the source.
+    """The earliest-deadline-first schedule: ``src, rows, slots, releases, deadlines``, the rows of a block and the times of each block of the source.
 
     ``share`` holds one row per source, a list of the size of a configuration.
     """
@@ -84,9 +84,7 @@ def schedule(share: DataFrame, block_rows: int, slots: int = SLOTS) -> DataFrame
             deadline = div((done + 1) * acc["whole"] + w - 1, w)
             return F.when((w > 0) & (release <= t - acc["start"]), F.struct((acc["start"] + deadline).alias("deadline"), k.alias("k"), (acc["start"] + release).alias("release")))
 
-        with_pick = F.array(F.array_min(F.transform(acc["ws"], due)))
-
-        def placed(p: Column) -> Column:
+        def placed(acc: Column, p: Column) -> Column:
             done = F.transform(acc["done"], lambda d, i: F.when(i == p["k"], d + 1).otherwise(d))
             out = F.get(F.col("s"), p["k"])["blocks"] == F.get(acc["done"], p["k"]) + 1
             ws = F.when(out, weights_of(done)).otherwise(acc["ws"])
@@ -96,31 +94,36 @@ def schedule(share: DataFrame, block_rows: int, slots: int = SLOTS) -> DataFrame
                 F.when(out, t + 1).otherwise(acc["start"]).alias("start"),
                 ws.alias("ws"),
                 F.when(out, total_of(ws)).otherwise(acc["whole"]).alias("whole"),
-                F.concat(acc["order"], F.array(F.struct(p["k"].alias("k"), t.cast("int").alias("slot"), p["release"].cast("int").alias("release"), p["deadline"].cast("int").alias("deadline")))).alias("order"),
+                F.concat(acc["order"], F.array(p["k"].cast("long"), p["release"], p["deadline"])).alias("order"),
             )
 
-        return F.get(F.transform(with_pick, placed), F.lit(0))
+        # A fold over one value names it.
+        return F.aggregate(F.array(F.array_min(F.transform(acc["ws"], due))), acc, placed)
 
-    kind = "array<struct<k:int,slot:int,release:int,deadline:int>>"
+    empty, none = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<array<bigint>>)")
     zeros = longs(lambda _: F.lit(0).cast("long"))
-    state = lambda acc, **new: F.struct(*(new.get(c, acc[c]).alias(c) for c in ("done", "base", "start", "ws", "whole", "order")))
-    start = F.struct(
-        zeros.alias("done"), zeros.alias("base"), F.lit(0).cast("long").alias("start"), weights_of(zeros).alias("ws"), total_of(weights_of(zeros)).alias("whole"), F.expr(f"cast(array() as {kind})").alias("order")
-    )
-    empty = F.expr(f"cast(array() as {kind})")
-
-    def some(acc: Column, first: Column) -> Column:
-        """One more array of ``CHUNK`` slots: appending to short arrays keeps the fold linear."""
-        last = F.least(first + CHUNK, F.col("length")) - 1
-        now = F.aggregate(F.sequence(first, last), acc["now"], step)
-        return F.get(F.transform(F.array(now), lambda x: F.struct(state(x, order=empty).alias("now"), F.concat(acc["all"], F.array(x["order"])).alias("all"))), F.lit(0))
-
-    firsts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(CHUNK).cast("long"))
-    whole = F.struct(start.alias("now"), F.expr(f"cast(array() as array<{kind}>)").alias("all"))
-    order = F.aggregate(firsts, whole, some, lambda acc: F.flatten(acc["all"]))
-    planned = one.select("s", "rows", F.explode(order).alias("o"))
+    state = lambda acc, order: F.struct(*(acc[c].alias(c) for c in ("done", "base", "start", "ws", "whole")), order.alias("order"))
+
+    def fold(now: Column, first: Column, depth: int) -> Column:
+        """The state after ``CHUNK ** depth`` slots.  A step copies the array it appends to, so arrays are short and joined level by level."""
+        if depth == 1:
+            return F.aggregate(F.sequence(first, F.least(first + CHUNK, F.col("length")) - 1), now, step)
+        last = F.col("length") if depth == 3 else F.least(first + CHUNK**depth, F.col("length"))
+        joined = lambda acc, x: F.struct(state(x, empty).alias("now"), F.concat(acc["all"], F.array(x["order"])).alias("all"))
+        return F.aggregate(
+            F.sequence(first, last - 1, F.lit(CHUNK ** (depth - 1)).cast("long")),
+            F.struct(now.alias("now"), none.alias("all")),
+            lambda acc, at: F.aggregate(F.array(fold(acc["now"], at, depth - 1)), acc, joined),
+            lambda acc: state(acc["now"], F.flatten(acc["all"])),
+        )
+
+    start = F.struct(zeros.alias("done"), zeros.alias("base"), F.lit(0).cast("long").alias("start"), weights_of(zeros).alias("ws"), total_of(weights_of(zeros)).alias("whole"), empty.alias("order"))
+    slot = lambda xs, i: F.struct(F.get(xs, 3 * i).alias("k"), i.alias("slot"), F.get(xs, 3 * i + 1).alias("release"), F.get(xs, 3 * i + 2).alias("deadline"))
+    listed = F.transform(F.array(fold(start, F.lit(0).cast("long"), 3)["order"]), lambda xs: F.transform(F.sequence(F.lit(0), F.col("length").cast("int") - 1), lambda i: slot(xs, i)))
+    planned = one.select("s", "rows", F.explode(F.get(listed, F.lit(0))).alias("o"))
     plan = planned.groupBy("o.k").agg(F.first("s").alias("s"), F.first("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("o.slot", "o.release", "o.deadline"))).alias("plan"))
-    return plan.select(F.get("s", F.col("k"))["src"].alias("src"), "rows", "plan")
+    part = lambda name, kind: F.transform("plan", lambda x: x[name].cast(kind)).alias(f"{name}s")
+    return plan.select(F.get("s", F.col("k").cast("int"))["src"].alias("src"), "rows", part("slot", "int"), part("release", "int"), part("deadline", "long"))
 
 
 def mix(
@@ -150,15 +153,15 @@ def mix(
     plan = schedule(shares(tally.groupBy(F.col("__src").alias("src")).agg(F.sum("n").alias("n")), temperature, weights), block_rows, slots)
     inside = F.row_number().over(Window.partitionBy("__src", "__range").orderBy("__h", key)) - 1
     ranked = named.withColumn("__in", inside).join(ranges, ["__src", "__range"]).withColumn("__rank", F.col("__before") + F.col("__in"))
-    # ``slots`` bounds the plan: a row per source with a few bytes a block.
-    rows = ranked.join(F.broadcast(plan.select(F.col("src").alias("__src"), F.col("rows").alias("__rows"), F.col("plan").alias("__plan"))), "__src")
+    # ``slots`` bounds the plan: a row per source with 16 bytes a block.
+    rows = ranked.join(F.broadcast(plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns})), "__src")
     block = F.floor(F.col("__rank") / F.col("__rows"))
-    mine = F.get("__plan", block.cast("int"))
+    at = lambda name: F.get(name, block.cast("int")).cast("long")
     return rows.select(
         *[F.col(c) for c in docs.columns],
         block.alias("mix_block"),
-        mine["release"].cast("long").alias("mix_release"),
-        mine["deadline"].cast("long").alias("mix_deadline"),
-        mine["slot"].cast("long").alias("mix_slot"),
-        (mine["slot"].cast("long") * F.col("__rows") + F.col("__rank") % F.col("__rows")).alias("mix_position"),
+        at("__releases").alias("mix_release"),
+        at("__deadlines").alias("mix_deadline"),
+        at("__slots").alias("mix_slot"),
+        (at("__slots") * F.col("__rows") + F.col("__rank") % F.col("__rows")).alias("mix_position"),
     )
