@@ -2,14 +2,23 @@
 
 Both the queries and the data of a block are indexed by a cover tree: each
 node has one of its points as its centre and covers its points within a radius;
-its children's centres, the first being its own, lie further apart than the
-radius they cover, which shrinks by a constant factor per level.  Node pairs
-are taken best first.  A pair's products are at most
+its children are a net of them: centres, the first being its own, that lie
+further apart than the radius they cover, which shrinks by a constant factor
+per level.  Children of few points would cost more to visit than to compare, so
+the points of such siblings are read together in leaves, by falling length.
+
+Node pairs are taken best first.  A pair's products are at most
 
     centre . centre + radius_d |centre_q| + radius_q |centre_d| + radius_q radius_d
 
-and a pair goes when that is below the worst kth score of the query node's
-queries.  Leaves are compared point by point, in integers.
+and at most the product of the greatest lengths times the cosine of what the
+nodes' widest angles leave of the angle between their centres.  A pair goes when
+that is below the worst kth score of the query node's queries; the queries of a
+leaf are held against a data node one by one.  Leaves are compared point by
+point, in integers.
+
+Where all vectors are about equally far apart, a net of smaller radius holds every
+point and no bound prunes: such data are compared in full.
 """
 
 from __future__ import annotations
@@ -22,38 +31,59 @@ from pyspark.sql import DataFrame
 
 from .vectors import BLOCK_ROWS, QUERY_ROWS, blocked, searched, usable
 
-BASE, LEAF, SCALE = 1.3, 256, 1024.0
+BASE, LEAF, SCALE = 1.3, 32, 1024.0
+#: Points whose distances to all others of a node are computed at once.
+BATCH = 256
 #: Integer sums up to this are exact in double precision.
 EXACT = float(1 << 53)
 
 
+def _net(x: np.ndarray, points: np.ndarray, centre: int, cover: float) -> list[np.ndarray]:
+    """The points by the first centre that covers each; a group's first point is its centre, and ``centre`` is the first one."""
+    rest, groups = np.r_[centre, points[points != centre]], []
+    while len(rest):
+        batch = rest[:BATCH]
+        square = (x[rest] ** 2).sum(axis=1)
+        near = square[:, None] + square[: len(batch)] - 2 * (x[rest] @ x[batch].T) <= cover * cover
+        near[np.arange(len(batch)), np.arange(len(batch))] = True
+        chosen, taken = [], np.zeros(len(batch), dtype=bool)
+        for j in range(len(batch)):
+            if not taken[j]:
+                chosen.append(j)
+                taken |= near[: len(batch), j]
+        mine = near[:, chosen]
+        covered = mine.any(axis=1)
+        own = mine[covered].argmax(axis=1)
+        order = np.argsort(own, kind="stable")  # a centre precedes what it covers
+        groups += np.split(rest[covered][order], np.flatnonzero(np.diff(own[order])) + 1)
+        rest = rest[~covered]
+    return groups
+
+
 def tree(x: np.ndarray, leaf: int = LEAF, base: float = BASE) -> list[tuple[int, float, np.ndarray, list[int]]]:
     """Nodes (centre, radius, points, children); a leaf has no children.  Node 0 is the root."""
     nodes: list[tuple[int, float, np.ndarray, list[int]]] = []
     stack = [(0, np.arange(len(x)), -1)]
+    lengths = (x * x).sum(axis=1)
     while stack:
         centre, points, parent = stack.pop()
-        far = np.sqrt(((x[points] - x[centre]) ** 2).sum(axis=1))
-        radius = float(far.max())
+        radius = float(np.sqrt(((x[points] - x[centre]) ** 2).sum(axis=1)).max())
         me = len(nodes)
         nodes.append((centre, radius, points, []))
         if parent >= 0:
             nodes[parent][3].append(me)
         if len(points) <= leaf or radius == 0:
             continue
-        cover, rest, at, small = radius / base, points, centre, []
-        while len(rest):
-            near = np.sqrt(((x[rest] - x[at]) ** 2).sum(axis=1)) <= cover
-            if near.sum() * 8 >= leaf:
-                stack.append((at, rest[near], me))
+        few = []
+        for group in _net(x, points, centre, radius / base):
+            if 4 * len(group) >= leaf:
+                stack.append((int(group[0]), group, me))
             else:
-                small.append(rest[near])  # few points: children with the parent's other stragglers
-            rest = rest[~near]
-            at = rest[0] if len(rest) else -1
-        if small:
-            few = np.concatenate(small)
-            for i in range(0, len(few), leaf):
-                stack.append((int(few[i]), few[i : i + leaf], me))
+                few.append(group)
+        if few:
+            loose = np.concatenate(few)
+            loose = loose[np.argsort(-lengths[loose], kind="stable")]
+            stack += [(int(loose[i]), loose[i : i + leaf], me) for i in range(0, len(loose), leaf)]
     return nodes
 
 
@@ -71,24 +101,55 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole(a) @ whole(b).T
 
 
-def _search(k: int):
+class Bounds:
+    """What the bounds need of the nodes of a tree."""
+
+    def __init__(self, x: np.ndarray, nodes: list):
+        length = np.sqrt((x * x).sum(axis=1))
+        self.at = np.array([n[0] for n in nodes])
+        self.far = np.array([n[1] for n in nodes])
+        self.length = length[self.at]
+        self.longest = np.array([length[n[2]].max() for n in nodes])
+        self.angle = np.empty(len(nodes))
+        for i, (centre, _, points, _) in enumerate(nodes):
+            sizes = length[points] * length[centre]
+            cosine = (x[points] @ x[centre] / np.where(sizes > 0, sizes, 1.0)).min() if sizes.all() else -1.0
+            self.angle[i] = np.arccos(np.clip(cosine, -1, 1)) + 1e-6
+
+
+def _search(k: int, tally: list[tuple[int, int]] | None = None):
+    """``tally`` gets how many products were computed and how many pairs there are."""
+
     def run(queries: bytes, index: bytes):
         q_ids, q, q_tree = pickle.loads(queries)
         ids, x, x_tree = pickle.loads(index)
-        norm = lambda m: np.sqrt((m * m).sum(axis=1))
-        q_at, x_at = np.array([n[0] for n in q_tree]), np.array([n[0] for n in x_tree])
-        q_far, x_far = np.array([n[1] for n in q_tree]), np.array([n[1] for n in x_tree])
-        q_len, x_len = norm(q[q_at]), norm(x[x_at])
+        q_is, x_is = Bounds(q, q_tree), Bounds(x, x_tree)
         small = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < EXACT
         kind = np.float64 if small else object
         best = np.full((len(q), k), -np.inf, dtype=kind)
         who = np.full((len(q), k), np.iinfo(np.int64).max)
         inner = [len(n[3]) > 0 for n in q_tree], [len(n[3]) > 0 for n in x_tree]
+        compared = 0
+
+        def bounded(centre: np.ndarray, far, length, longest, angle, b: list[int]) -> np.ndarray:
+            mid = centre @ x[x_is.at[b]].T
+            ball = mid + x_is.far[b] * length[:, None] + far[:, None] * (x_is.length[b] + x_is.far[b])
+            sizes = length[:, None] * x_is.length[b]
+            between = np.arccos(np.clip(mid / np.where(sizes > 0, sizes, 1.0), -1, 1)) * (sizes > 0)
+            left = np.maximum(between - angle[:, None] - x_is.angle[b], 0.0)
+            cone = longest[:, None] * x_is.longest[b] * np.maximum(np.cos(np.minimum(left, np.pi)), 0.0)
+            out = np.minimum(ball, cone)
+            return out + 1e-9 * np.abs(out) + 1.0
 
         def bounds(a: list[int], b: list[int]) -> np.ndarray:
-            mid = q[q_at[a]] @ x[x_at[b]].T
-            out = mid + x_far[b] * q_len[a][:, None] + q_far[a][:, None] * x_len[b] + q_far[a][:, None] * x_far[b]
-            return out + 1e-9 * np.abs(out) + 1.0
+            return bounded(q[q_is.at[a]], q_is.far[a], q_is.length[a], q_is.longest[a], q_is.angle[a], b)
+
+        q_length, nothing = np.sqrt((q * q).sum(axis=1)), np.zeros(len(q))
+
+        def single(points: np.ndarray, b: list[int]) -> np.ndarray:
+            """Bounds of queries one by one: each is a node of its own."""
+            zero = nothing[points]
+            return bounded(q[points], zero, q_length[points], q_length[points], zero + 1e-6, b)
 
         heap = [(-float(bounds([0], [0])[0, 0]), 0, 0)]
         while heap:
@@ -96,28 +157,41 @@ def _search(k: int):
             points = q_tree[a][2]
             if -bound < best[points, -1].min():
                 continue
-            if inner[0][a] or inner[1][b]:
-                split_q = inner[0][a] and (not inner[1][b] or q_far[a] >= x_far[b])
+            if not inner[0][a] and inner[1][b]:
+                two = x_tree[b][3]
+                got = single(points, two)
+                got = np.where(got >= best[points, -1][:, None], got, -np.inf).max(axis=0)
+                for j in np.flatnonzero(got > -np.inf).tolist():
+                    heapq.heappush(heap, (-float(got[j]), a, two[j]))
+                continue
+            if inner[0][a]:
+                split_q = inner[0][a] and (not inner[1][b] or q_is.far[a] >= x_is.far[b])
                 one, two = (q_tree[a][3], [b]) if split_q else ([a], x_tree[b][3])
                 got = bounds(one, two)
                 worst = [best[q_tree[c][2], -1].min() for c in one]
                 for i, c in enumerate(one):
-                    for j, d in enumerate(two):
-                        if got[i, j] >= worst[i]:
-                            heapq.heappush(heap, (-float(got[i, j]), c, d))
+                    for j in np.flatnonzero(got[i] >= worst[i]).tolist():
+                        heapq.heappush(heap, (-float(got[i, j]), c, two[j]))
                 continue
             data = x_tree[b][2]
+            data = data[np.argsort(ids[data])]
+            points = points[single(points, [b])[:, 0] >= best[points, -1]]
             score = _exact(q[points], x[data])
+            compared += score.size
             if not small:
                 score = score.astype(object)
-            own = q_ids[points][:, None] == ids[data][None, :]
-            score[own] = -np.inf
-            for i in np.flatnonzero((score >= best[points, -1][:, None]).any(axis=1)):
-                p = points[i]
-                ok = np.flatnonzero((score[i] >= best[p, -1]) & ~own[i])
-                s, w = np.r_[best[p], score[i][ok]], np.r_[who[p], ids[data[ok]]]
-                top = np.array(sorted(range(len(s)), key=lambda z: (-s[z], w[z]))[:k]) if not small else np.lexsort((w, -s))[:k]
-                best[p], who[p] = s[top], w[top]
+            score[q_ids[points][:, None] == ids[data][None, :]] = -np.inf
+            better = np.flatnonzero((score >= best[points, -1][:, None]).any(axis=1))
+            if len(better):
+                p = points[better]
+                s, w = np.concatenate([best[p], score[better]], axis=1), np.concatenate([who[p], np.broadcast_to(ids[data], (len(p), len(data)))], axis=1)
+                w[s == -np.inf] = np.iinfo(np.int64).max
+                order = np.argsort(w, axis=1, kind="stable")
+                s, w = np.take_along_axis(s, order, axis=1), np.take_along_axis(w, order, axis=1)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best[p], who[p] = np.take_along_axis(s, order, axis=1), np.take_along_axis(w, order, axis=1)
+        if tally is not None:
+            tally.append((compared, len(q) * len(x)))
         row, col = np.nonzero(who != np.iinfo(np.int64).max)
         return q_ids[row], who[row, col], np.array([int(v) for v in best[row, col]], dtype=object)
 

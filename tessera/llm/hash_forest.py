@@ -3,12 +3,15 @@
 Each of ``trees`` trees labels a vector with a long string of sign bits of
 random projections and keeps the strings of a block sorted.  A query descends
 in every tree to the longest prefix that its own string shares with a stored
-one, then all trees ascend together, a bit at a time, until the vectors under
-the current prefixes number ``share`` of the block; these are scored exactly by
-cosine.
-
-Recall depends on how the vectors lie: on vectors spread evenly over a sphere
-no prefix is telling, and 0.9 takes about a third of each block as candidates.
+one, then all trees ascend together, a bit at a time; what stands under the
+current prefixes is scored exactly by cosine.
+
+Two vectors at angle ``a`` agree in a bit with probability ``p = 1 - a / pi``,
+so one as near as the kth found so far stands under a prefix of ``d`` bits in one
+of ``t`` trees with probability ``1 - (1 - p**d)**t``.  The ascent ends when that
+reaches ``recall``, whatever the size of the block.  Near vectors are found after a
+few candidates; where all vectors are far apart no prefix is telling, and a
+good part of the block is scored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .vectors import BLOCK_ROWS, QUERY_ROWS, blocked, searched, usable
 
-TREES, BITS, SHARE, SEED = 32, 64, 0.36, 20_240_607
+TREES, BITS, RECALL, SEED = 64, 64, 0.9, 20_240_607
 
 
 def _strings(x: np.ndarray, trees: int) -> np.ndarray:
@@ -43,12 +46,12 @@ def _plain(ids: np.ndarray, x: np.ndarray) -> bytes:
     return pickle.dumps((ids, x))
 
 
-def _search(k: int, share: float):
+def _search(k: int, recall: float):
     def run(queries: bytes, index: bytes):
         q_ids, q = pickle.loads(queries)
         ids, x, strings, order = pickle.loads(index)
-        labels, n = _strings(q, len(strings)), len(ids)
-        norms, want = np.sqrt((x * x).sum(axis=1)), max(k + 1, int(np.ceil(share * n)))
+        labels, n, trees = _strings(q, len(strings)), len(ids), len(strings)
+        norms = np.sqrt((x * x).sum(axis=1))
         low = np.empty((BITS + 1, *labels.shape), dtype=np.int32)
         high = np.empty_like(low)
         for level in range(BITS + 1):
@@ -57,23 +60,36 @@ def _search(k: int, share: float):
                 low[level, t] = np.searchsorted(row, labels[t] & ~free, side="left")
                 high[level, t] = np.searchsorted(row, labels[t] | free, side="right")
         under = (high - low).sum(axis=1)  # at each level, with repeats
+        # The least probability of an equal bit with which ``recall`` is reached at each level.
+        enough = np.r_[0.0, (1 - (1 - recall) ** (1 / trees)) ** (1 / np.arange(1, BITS + 1))]
         out = [[], [], []]
         for i in range(len(q_ids)):
+            spot = np.searchsorted(ids, q_ids[i]) % n
+            seen = np.zeros(n, dtype=bool)
+            seen[spot] = ids[spot] == q_ids[i]
+            at, score, length = np.zeros(0, np.int64), np.zeros(0), np.sqrt((q[i] * q[i]).sum())
             # Below this level even with repeats there are too few.
-            level = int(np.flatnonzero(under[:, i] >= min(want, under[0, i]))[-1])
-            marked = np.zeros(n, dtype=bool)
+            level = int(np.flatnonzero(under[:, i] >= min(k + 1, under[0, i]))[-1])
+            old_low = old_high = None
             while True:
-                for t in range(len(strings)):
-                    marked[order[t, low[level, t, i] : high[level, t, i]]] = True
-                if level == 0 or np.count_nonzero(marked) >= want:
+                now_low, now_high = low[level, :, i], high[level, :, i]
+                if old_low is None:
+                    spans = [(t, a, b) for t, (a, b) in enumerate(zip(now_low.tolist(), now_high.tolist(), strict=True)) if a < b]
+                else:
+                    both = zip(now_low.tolist(), old_low.tolist(), old_high.tolist(), now_high.tolist(), strict=True)
+                    spans = [s for t, (a, b, c, d) in enumerate(both) for s in ((t, a, b), (t, c, d)) if s[1] < s[2]]
+                found = np.unique(np.concatenate([order[t, a:b] for t, a, b in spans])) if spans else np.zeros(0, np.int64)
+                found = found[~seen[found]]
+                seen[found] = True
+                at = np.r_[at, found]
+                score = np.r_[score, (x[found] * q[i]).sum(axis=1) / (norms[found] * length)]
+                if len(at) > k:
+                    keep = score >= np.partition(score, -k)[-k]
+                    at, score = at[keep], score[keep]
+                old_low, old_high = now_low, now_high
+                if level == 0 or (len(at) >= k and 1 - np.arccos(np.clip(score.min(), -1, 1)) / np.pi >= enough[level]):
                     break
                 level -= 1
-            marked[np.searchsorted(ids, q_ids[i]) % n] &= ids[np.searchsorted(ids, q_ids[i]) % n] != q_ids[i]
-            at = np.flatnonzero(marked)
-            score = (x[at] * q[i]).sum(axis=1) / (norms[at] * np.sqrt((q[i] * q[i]).sum()))
-            if len(at) > k:
-                keep = score >= np.partition(score, -k)[-k]
-                at, score = at[keep], score[keep]
             top = np.lexsort((ids[at], -score))[:k]
             out[0].append(np.full(len(top), q_ids[i]))
             out[1].append(ids[at[top]])
@@ -90,17 +106,17 @@ def nearest(
     key: str = "vec_id",
     embedding: str = "embedding",
     trees: int = TREES,
-    share: float = SHARE,
+    recall: float = RECALL,
     block_rows: int = BLOCK_ROWS,
     query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest of the rows of ``vectors`` with another key.
 
-    Score is the cosine of the original vectors in double precision; ties go to the smaller key.  Every row is
-    indexed.  Rows without a key, and null, empty or all-zero vectors and those with null or non-finite components
+    Score is the cosine of the original vectors in double precision; ties go to the smaller key.  Each of the ``k`` is
+    found with probability ``recall`` at least.  Every row is indexed.  Rows without a key, and null, empty or all-zero vectors and those with null or non-finite components
     take no part.  A repeated key counts once, by its smallest vector.  Vectors are compared with those of their own
     length.  Fewer candidates than ``k`` give fewer rows, an empty table none.
     """
     index = blocked(usable(vectors, key, embedding, zero=False), block_rows, build(trees), "hash-forest")
     asked = blocked(usable(queries, key, embedding, zero=False), query_rows, _plain, "hash-forest-queries")
-    return searched(asked, index, _search(k, share), "double", k)
+    return searched(asked, index, _search(k, recall), "double", k)

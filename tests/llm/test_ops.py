@@ -384,6 +384,60 @@ def test_forest_recall_and_exact_scores(vectors):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_forest_recall_on_the_tables(sf):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet").to_pylist()
+    data = {r["vec_id"]: r["embedding"] for r in table if r["vec_id"] is not None and r["embedding"] and any(r["embedding"])}
+    ids = np.array(sorted(data))
+    x = np.array([data[i] for i in ids], dtype=np.float64)
+    at = np.flatnonzero(ids % 50 == 0)
+    got = defaultdict(list)
+    search = hash_forest._search(5, hash_forest.RECALL)
+    for q, i, s in zip(*search(hash_forest._plain(ids[at], x[at]), hash_forest.build(hash_forest.TREES)(ids, x)), strict=True):
+        got[q].append((-s, i))
+    cos = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    hits = 0
+    for i in at:
+        s = cos @ cos[i]
+        s[i] = -2
+        hits += len({j for _, j in sorted(got[ids[i]])[:5]} & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert hits / (5 * len(at)) >= 0.9
+
+
+def test_forest_scores_few_of_clustered_vectors(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 32))[np.arange(4000) % 40] + 0.05 * rng.standard_normal((4000, 32))
+    scored = []
+    monkeypatch.setattr(hash_forest.np, "partition", lambda a, k, real=np.partition: scored.append(len(a)) or real(a, k))
+    hash_forest._search(5, 0.9)(hash_forest._plain(np.arange(0, 4000, 50), x[::50]), hash_forest.build(16)(np.arange(4000), x))
+    assert sum(scored) < 0.1 * 80 * 4000
+
+
+def cover_tree_compares(x, every, k=10):
+    ids, tally = np.arange(len(x)), []
+    got = defaultdict(list)
+    for q, i, s in zip(*cover_tree._search(k, tally)(cover_tree._build(ids[::every], x[::every]), cover_tree._build(ids, x)), strict=True):
+        got[q].append((-s, i))
+    whole = np.floor(1024 * x)
+    for q in ids[::every]:
+        s = whole @ whole[q]
+        s[q] = -np.inf
+        assert sorted(got[q]) == [(-int(s[i]), i) for i in np.lexsort((ids, -s))[:k]]
+    return tally[0][0] / tally[0][1]
+
+
+def test_cover_tree_prunes_where_vectors_cluster_or_differ_in_length():
+    rng = np.random.default_rng(3)
+    clustered = rng.standard_normal((60, 32))[np.arange(3000) % 60] + 0.1 * rng.standard_normal((3000, 32))
+    assert cover_tree_compares(clustered, 50) < 0.1
+    assert cover_tree_compares(rng.standard_normal((3000, 32)) * np.exp(2 * rng.standard_normal((3000, 1))), 50) < 0.5
+    cover_tree_compares(rng.standard_normal((500, 32)), 50)
+    cover_tree_compares(np.repeat(rng.standard_normal((3, 8)), 400, axis=0), 50)
+    cover_tree_compares(np.zeros((100, 4)), 10)
+
+
 def test_cover_tree_is_exact(vectors):
     found, data = cover_tree.top_products(vectors, vectors.where("vec_id % 100 = 0"), 10, block_rows=150, query_rows=3).collect(), usable(vectors, True)
     got = defaultdict(list)
@@ -402,6 +456,9 @@ def test_cover_tree_covers_its_points():
         assert np.sqrt(((x[points] - x[centre]) ** 2).sum(axis=1)).max() <= radius + 1e-9
         if children:
             assert sorted(np.concatenate([nodes[c][2] for c in children]).tolist()) == sorted(points.tolist())
+            net = [nodes[c][0] for c in children if nodes[c][1] <= radius / cover_tree.BASE and 4 * len(nodes[c][2]) >= 16]
+            apart = np.sqrt(((x[net][:, None] - x[net][None]) ** 2).sum(axis=2)) + 1e9 * np.eye(len(net))
+            assert len(net) < 2 or len(net) != len(children) or apart.min() > radius / cover_tree.BASE
 
 
 def test_large_components_stay_exact(spark):
