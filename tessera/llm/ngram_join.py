@@ -3,19 +3,22 @@
 A document is its set of distinct word shingles.  Sets fall in size bands no
 wider than the similarity threshold, so two similar sets lie in the same or in
 neighbouring bands.  At a band's level the threshold bounds how many shingles
-two sets can differ in, ``k``; the hashed shingle domain is cut in
-``K > k`` ranges, and the subset of a set in one range is one signature.  ``k``
-differences touch ``k`` ranges at most, so similar sets agree in ``K - k``
-ranges.  (This is the enumeration over single first-level partitions with no
-difference allowed inside: at word-shingle sizes it gives the fewest
-signatures for their selectivity.)  Ranges that are empty are no signature as
-long as a set has fewer of them than the ranges it is sure to share; a set with
-more emits its empty ranges too, so no pair is lost.
+two sets can differ in, ``k``.  The hashed shingle domain is cut in ranges, and a
+range in parts; a signature is the subset of a set in all parts of a range but
+``inner``, for each choice of those.  At most ``bad = k // (inner + 1)`` ranges hold
+more than ``inner`` differences, and in every other one some choice leaves out all
+that differ: so of more than ``bad`` ranges similar sets share signatures in the
+rest.  With ``inner`` 0, the default, a range is one signature: at
+word-shingle sizes that gives the fewest for their selectivity.
+
+Empty subsets are no signature as long as a set has more than ``bad`` ranges with
+elements in more than ``inner`` parts, for in the surplus it is sure to share one
+that is not empty; a set with fewer emits its empty subsets too, so no pair is lost.
 
 Signatures travel as compressed sorted arrays, grouped by a hash range.  Small
-groups give their pairs, from which parity sketches (whose distance never
-exceeds the true one) and the number of signatures that similar sets are sure
-to share rule out nearly all that are not similar.  One candidate link a
+groups give their pairs, which the number of signatures that similar sets are sure
+to share, their sizes and then parity sketches (whose distance never exceeds
+the true one) rule out unless they are similar, but for a few.  One candidate link a
 document is verified on the exact sets first, then every one that still crosses
 two components.  Groups of more than ``small_group`` sets matter only to sets
 that have so many signatures in such groups that a similar set could share no
@@ -25,26 +28,29 @@ Exact copies are one class from the start.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blobs
 from . import textkit as tk
-from .common import shuffle_partitions, stored
+from .common import drop_table, shuffle_partitions, stored
 from .components import components
 
 WIDTH, PERCENT = 5, 75
+#: Differences that a signature leaves room for inside a range, and the parts of a range.
+INNER, PARTS = 0, 3
 #: Ranges per possible difference.  More ranges are smaller signatures, fewer leave too little slack for empty ones.
 SLACK = 1.4
 SMALL_GROUP, BLOCK = 16, 2048
-#: Signatures that a task holds before it sends them off.
-FLUSH = 1 << 19
+#: Signatures that a task holds before it sends them off, and about how many shingles give a hash range's signatures.
+FLUSH, BUCKET = 1 << 19, 1 << 20
 SET_BITS = 48
 
 
@@ -61,78 +67,103 @@ def differences(size_sum: int | np.ndarray, percent: int = PERCENT):
     return size_sum * (100 - percent) // (100 + percent)
 
 
-def _levels(grams: np.ndarray, bounds: np.ndarray, percent: int, slack: float):
-    """For a set's own level and the next: level, possible differences and ranges of each set, row and range of each element, first elements of the filled ranges."""
+def _levels(grams: np.ndarray, bounds: np.ndarray, percent: int, slack: float, inner: int, parts: int):
+    """For a set's own level and the next: level, ``bad`` ranges and ranges of each set; row, range and part of each element; first elements of the filled ranges; how many ranges a set has in more than ``inner`` parts."""
     first = bands(percent)
     sizes = np.diff(bounds)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     high = grams >> np.uint64(32)
     for up in (0, 1):
         level = np.searchsorted(first, sizes, side="right") - 1 + up
-        k = differences(2 * (first[level + 1] - 1), percent)
-        ranges = np.where(k == 0, 1, np.ceil(k * slack).astype(np.int64) + 1)
-        part = ((high * ranges[rows].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        bad = differences(2 * (first[level + 1] - 1), percent) // (inner + 1)
+        ranges = np.where(bad == 0, 1, np.ceil(bad * slack).astype(np.int64) + 1)
+        spot = high * ranges[rows].astype(np.uint64)
+        of, part = (spot >> np.uint64(32)).astype(np.int64), ((spot & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         new = np.ones(len(rows), dtype=bool)
-        new[1:] = (rows[1:] != rows[:-1]) | (part[1:] != part[:-1])
-        yield level, k, ranges, rows, part, np.flatnonzero(new)
-
-
-def signatures(grams: np.ndarray, bounds: np.ndarray, percent: int = PERCENT, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+        new[1:] = (rows[1:] != rows[:-1]) | (of[1:] != of[:-1])
+        at = np.flatnonzero(new)
+        if inner:
+            kinds = np.ones(len(rows), dtype=np.int64)
+            kinds[1:] = new[1:] | (part[1:] != part[:-1])
+            wide = (np.add.reduceat(kinds, at) if len(at) else kinds) > inner
+        else:
+            wide = np.ones(len(at), dtype=bool)
+        yield level, bad, ranges, rows, of, part, at, np.bincount(rows[at[wide]], minlength=len(level))
+
+
+def signatures(
+    grams: np.ndarray, bounds: np.ndarray, percent: int = PERCENT, slack: float = SLACK, inner: int = INNER, parts: int = PARTS
+) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of each sorted set ``grams[bounds[i]:bounds[i+1]]``; the last bit of a signature is its level's."""
     if not len(grams):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     mixed = tk.mix(grams ^ np.uint64(0x5851F42D4C957F2D))
     got, of = [], []
     one = np.uint64(1)
-    for level, k, ranges, rows, part, at in _levels(grams, bounds, percent, slack):
-        name = lambda p, lv: tk.mix(p.astype(np.uint64) * np.uint64(131) + lv.astype(np.uint64) + np.uint64(1 << 60))
+    left_out = list(itertools.combinations(range(parts), inner))
+    name = lambda p, choice, lv: tk.mix((p * len(left_out) + choice).astype(np.uint64) * np.uint64(131) + lv.astype(np.uint64) + np.uint64(1 << 60))
+    for level, bad, ranges, rows, place, part, at, wide in _levels(grams, bounds, percent, slack, inner, parts):
         bit = level.astype(np.uint64) & one
-        sig = tk.mix(np.add.reduceat(mixed, at) + name(part[at], level[rows[at]]))
-        got.append((sig & ~one) | bit[rows[at]])
-        of.append(rows[at])
-        filled = np.bincount(rows[at], minlength=len(level))
-        for r in np.flatnonzero((np.diff(bounds) > 0) & (filled <= k) & (ranges > 1)):
-            empty = np.setdiff1d(np.arange(ranges[r]), part[bounds[r] : bounds[r + 1]])
-            got.append((tk.mix(name(empty, np.full(len(empty), level[r]))) & ~one) | bit[r])
-            of.append(np.full(len(empty), r))
+        short = np.flatnonzero((np.diff(bounds) > 0) & (wide <= bad))
+        for choice, out in enumerate(left_out):
+            keep = ~np.isin(part, out) if out else None
+            sums = np.add.reduceat(mixed if keep is None else np.where(keep, mixed, np.uint64(0)), at)
+            full = at if keep is None else at[np.add.reduceat(keep.astype(np.int64), at) > 0]
+            sums = sums if keep is None else sums[np.isin(at, full)]
+            sig = tk.mix(sums + name(place[full], choice, level[rows[full]]))
+            got.append((sig & ~one) | bit[rows[full]])
+            of.append(rows[full])
+            starts = np.searchsorted(rows[full], np.arange(len(level) + 1))
+            for r in short:
+                empty = np.setdiff1d(np.arange(ranges[r]), place[full[starts[r] : starts[r + 1]]])
+                got.append((tk.mix(name(empty, choice, np.full(len(empty), level[r]))) & ~one) | bit[r])
+                of.append(np.full(len(empty), r))
     return np.concatenate(got), np.concatenate(of)
 
 
-def sure(grams: np.ndarray, bounds: np.ndarray, percent: int = PERCENT, slack: float = SLACK) -> np.ndarray:
+def sure(grams: np.ndarray, bounds: np.ndarray, percent: int = PERCENT, slack: float = SLACK, inner: int = INNER, parts: int = PARTS) -> np.ndarray:
     """How many signatures a set shares at least with any similar one, [row, last bit of the level].
 
-    A set that emits its empty ranges is sure of one only: the other set may not emit them.
+    A set that emits its empty subsets is sure of one only: the other set may not emit them.
     """
     out = np.zeros((len(bounds) - 1, 2), dtype=np.int64)
-    for level, k, ranges, rows, _, at in _levels(grams, bounds, percent, slack):
-        filled = np.bincount(rows[at], minlength=len(level))
-        out[np.arange(len(out)), level & 1] = np.maximum(filled - k, 1)
+    for level, bad, *_, wide in _levels(grams, bounds, percent, slack, inner, parts):
+        out[np.arange(len(out)), level & 1] = np.maximum(wide - bad, 1)
     return out
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Parity of the elements by hashed position, two positions an element at least (eight in small sets); a power of two of bits."""
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parity of the elements by hashed position as 64-bit words, two positions an element at least (eight in small sets); a power of two of bits."""
     bits = 128
     while bits < (8 if len(grams) <= 256 else 2) * len(grams):
         bits *= 2
     parity = np.bincount((tk.mix(grams + np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A sketch as one of ``size`` words: halves are folded onto each other."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
 
 
-def folded(value: bytes, size: int) -> int:
-    """A sketch as an integer of ``size`` bytes: halves are folded onto each other."""
-    x, n = int.from_bytes(value, "little"), len(value)
-    while n > size:
-        n //= 2
-        x = (x >> (8 * n)) ^ (x & ((1 << (8 * n)) - 1))
-    return x
+def _similar_in_size(percent: int) -> Column:
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
 
-def may_match(n_a: int, sketch_a: bytes, n_b: int, sketch_b: bytes, percent: int) -> bool:
-    if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
-        return False
-    size = min(len(sketch_a), len(sketch_b))
-    return (folded(sketch_a, size) ^ folded(sketch_b, size)).bit_count() <= differences(n_a + n_b, percent)
+def _may_match(percent: int) -> Column:
+    """Whether sketches leave room for the similarity.  Those of sets similar in size are of one size or one is twice the other."""
+
+    def halved(words: Column) -> Column:
+        half = (F.size(words) / 2).cast("int")
+        return F.zip_with(F.slice(words, F.lit(1), half), F.slice(words, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+    a, b = F.col("sketch_a"), F.col("sketch_b")
+    fit = lambda x, y: F.when(F.size(x) == 2 * F.size(y), halved(x)).otherwise(x)
+    far = F.aggregate(F.zip_with(fit(a, b), fit(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    room = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+    return (F.greatest(F.size(a), F.size(b)) > 2 * F.least(F.size(a), F.size(b))) | (far <= room)
 
 
 def _sets(batches, width: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
@@ -149,20 +180,21 @@ def _class_ids(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return tk.mix(sums[bounds[1:]] - sums[bounds[:-1]] + tk.mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
-def _rows(width: int, percent: int):
+def _rows(width: int, percent: int, inner: int):
     def run(batches):
         for batch, a, b, grams, bounds in _sets(batches, width):
             sketches = [sketch(grams[bounds[i] : bounds[i + 1]]) for i in range(b - a)]
-            least = sure(grams, bounds, percent)
+            sketches = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sketches])], pa.int32()), pa.array(np.concatenate(sketches), pa.int64()))
+            least = sure(grams, bounds, percent, inner=inner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(_class_ids(grams, bounds)), pa.array(sketches, pa.binary()), pa.array(least[:, 0]), pa.array(least[:, 1])],
+                [batch.column("doc").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(_class_ids(grams, bounds)), sketches, pa.array(least[:, 0]), pa.array(least[:, 1])],
                 names=["doc", "n", "cls", "sketch", "sure0", "sure1"],
             )
 
     return run
 
 
-def _signature_blobs(width: int, percent: int, buckets: int):
+def _signature_blobs(width: int, percent: int, inner: int, buckets: int):
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         seen: set[int] = set()
@@ -185,7 +217,7 @@ def _signature_blobs(width: int, percent: int, buckets: int):
         for _, _, _, grams, bounds in _sets(batches, width):
             ids = _class_ids(grams, bounds)
             keep = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], dtype=bool)
-            sigs, rows = signatures(grams, bounds, percent)
+            sigs, rows = signatures(grams, bounds, percent, inner=inner)
             fresh = keep[rows]
             held.append((sigs[fresh], ids[rows[fresh]]))
             if sum(len(x[0]) for x in held) >= FLUSH:
@@ -249,7 +281,7 @@ def _large(percent: int, every: bool):
         n, cls, rep, part = n[order], cls[order], rep[order], np.unique(pdf["part"], return_inverse=True)[1][order]
         sketches = pdf["sketch"].to_numpy()[order]
         size = min(map(len, sketches))
-        m = np.frombuffer(b"".join(x if len(x) == size else folded(x, size).to_bytes(size, "little") for x in sketches), dtype=np.uint64).reshape(len(n), -1)
+        m = np.array([folded(x, size) for x in sketches]).view(np.uint64)
         top = np.searchsorted(n, n * 100 // percent, side="right")
         found, a, rows = [], 0, max(1, AT_ONCE // (len(n) * m.shape[1]))
         while a < len(n) - 1:
@@ -277,16 +309,6 @@ def _large(percent: int, every: bool):
     return run
 
 
-def _screen(percent: int):
-    def run(batches):
-        for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in ("n_a", "s_a", "n_b", "s_b")}
-            keep = [may_match(*x, percent) for x in zip(cols["n_a"], cols["s_a"], cols["n_b"], cols["s_b"], strict=True)]
-            yield batch.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _wanted_sets(width: int, bitmap):
     """Sets of the documents whose key is, or may be, wanted."""
 
@@ -347,7 +369,7 @@ def _in_blocks(members: DataFrame, block: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, small_group: int = SMALL_GROUP, block: int = BLOCK
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, small_group: int = SMALL_GROUP, block: int = BLOCK, inner: int = INNER
 ) -> DataFrame:
     """``key, n_shingles, class_id, component_id`` of each row of ``docs``.
 
@@ -355,32 +377,40 @@ def near_duplicates(
     the smallest key reachable by links, the row's own included.  Null and empty texts have an empty set, no
     class and are linked with nothing.  Rows with one key and several texts each take the component of their own
     text; a row without a key takes its class's component (null if no row of it has a key).  An empty
-    table gives no rows.
+    table gives no rows.  Keys are integers, or text of integers.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = stored(source.mapInArrow(_rows(width, percent), "doc long, n long, cls long, sketch binary, sure0 long, sure1 long"), "shingle-rows")
+    rows = stored(source.mapInArrow(_rows(width, percent, inner), "doc long, n long, cls long, sketch array<long>, sure0 long, sure1 long"), "shingle-rows")
     named = rows.where("n > 0 and doc is not null")
+    buckets = max(2 * shuffle_partitions(spark), (named.agg(F.sum("n")).first()[0] or 0) // BUCKET)
     classes = named.groupBy("cls").agg(F.min(F.struct("doc", "n", "sketch", "sure0", "sure1")).alias("r")).select("cls", F.col("r.doc").alias("rep"), "r.n", "r.sketch", "r.sure0", "r.sure1")
-    sent = source.where("doc is not null").mapInArrow(_signature_blobs(width, percent, 2 * shuffle_partitions(spark)), "bucket int, sigs binary, at binary, names binary")
+    sent = source.where("doc is not null").mapInArrow(_signature_blobs(width, percent, inner, buckets), "bucket int, sigs binary, at binary, names binary")
     found = stored(sent.groupBy("bucket").applyInPandas(_groups(small_group), "sig long, bit int, a long, b long, shared long"), "candidates")
     # What a set shares with a similar one can't all be in large groups if it has fewer signatures there than they are sure to share.
     large = found.where("shared = 0")
     hot = large.groupBy("a").agg(F.count_if(F.col("bit") == 0).alias("hot0"), F.count_if(F.col("bit") == 1).alias("hot1")).withColumnRenamed("a", "cls")
     classes = classes.join(hot, "cls", "left").fillna(0, ["hot0", "hot1"])
     classes = stored(classes.select("cls", "rep", "n", "sketch", *((F.col(f"sure{i}") - F.col(f"hot{i}")).alias(f"need{i}") for i in (0, 1))), "shingle-classes")
-    sides = [classes.select(*(F.col(c).alias({"cls": x}.get(c, f"{c}_{x}")) for c in ("cls", "rep", "n", "sketch", "need0", "need1"))) for x in "ab"]
+
+    def side(x: str, *columns: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+
+    # Numbers rule out most pairs; only the others meet their sketches.
     pairs = found.where("shared > 0").groupBy("a", "b").agg(*(F.sum(F.when(F.col("bit") == i, F.col("shared")).otherwise(0)).alias(f"shared{i}") for i in (0, 1)))
     enough = [(F.col(f"shared{i}") > 0) & (F.col(f"shared{i}") >= F.greatest(f"need{i}_a", f"need{i}_b")) for i in (0, 1)]
-    pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(enough[0] | enough[1])
+    numbers = ("n", "rep", "need0", "need1")
+    pairs = pairs.join(side("a", *numbers), "a").join(side("b", *numbers), "b").where((enough[0] | enough[1]) & _similar_in_size(percent))
     own = classes.select(F.col("cls").alias("a"), "need0", "need1")
     members = large.join(own, "a").where(F.when(F.col("bit") == 0, F.col("need0")).otherwise(F.col("need1")) <= 0)
     members = stored(members.select("sig", F.col("a").alias("cls")), "members")
     leader = members.groupBy("sig").agg(F.min("cls").alias("a"))
-    stars = members.join(leader, "sig").select("a", F.col("cls").alias("b")).where("a <> b").distinct().join(sides[0], "a").join(sides[1], "b")
-    wide = ["a", "b", "rep_a", "rep_b", "n_a", F.col("sketch_a").alias("s_a"), "n_b", F.col("sketch_b").alias("s_b")]
-    pair = "a long, b long, rep_a long, rep_b long"
-    pairs = stored(pairs.select(*wide).unionByName(stars.select(*wide)).mapInArrow(_screen(percent), pair), "pairs")
+    stars = members.join(leader, "sig").select("a", F.col("cls").alias("b")).where("a <> b").distinct()
+    stars = stars.join(side("a", "n", "rep"), "a").join(side("b", "n", "rep"), "b").where(_similar_in_size(percent))
+    wide, pair = ["a", "b", "rep_a", "rep_b", "n_a", "n_b"], "a long, b long, rep_a long, rep_b long"
+    pairs = pairs.select(*wide).unionByName(stars.select(*wide)).join(side("b", "sketch"), "b").join(side("a", "sketch"), "a")
+    pairs = stored(pairs.where(_may_match(percent)).select(*wide[:4]), "pairs")
+    drop_table(spark, found)
 
     def ends(some: DataFrame) -> DataFrame:
         return some.select(F.col("a").alias("cls"), F.col("rep_a").alias("rep")).union(some.select("b", "rep_b")).distinct()

@@ -197,8 +197,8 @@ def components_by_hand(docs):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("small", "block"), [(16, 2048), (2, 3)])
-def test_near_duplicates_against_brute_force(spark, small, block):
+@pytest.mark.parametrize(("small", "block", "inner"), [(16, 2048, 0), (2, 3, 0), (4, 50, 1)])
+def test_near_duplicates_against_brute_force(spark, small, block, inner):
     rng = np.random.default_rng(3)
     texts = []
     for size in (1, 3, 5, 6, 9, 14, 40, 120, 300):
@@ -213,11 +213,12 @@ def test_near_duplicates_against_brute_force(spark, small, block):
     texts += [passage + " " + " ".join(rng.integers(0, 5000, 40).astype(str)) for _ in range(25)]
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, small_group=small, block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, small_group=small, block=block, inner=inner).collect()}
     assert got == components_by_hand(docs)
 
 
-def test_signatures_never_miss_a_similar_pair():
+@pytest.mark.parametrize("inner", [0, 1, 2])
+def test_signatures_never_miss_a_similar_pair(inner):
     rng = np.random.default_rng(1)
     for n in (1, 2, 4, 7, 13, 30, 90, 400):
         for _ in range(30):
@@ -231,12 +232,15 @@ def test_signatures_never_miss_a_similar_pair():
                 if 100 * both < 75 * (len(a) + len(c) - both):
                     break
                 b = c
-            sigs = [set(ngram_join.signatures(x, np.array([0, len(x)]))[0].tolist()) for x in (a, b)]
+            sigs = [set(ngram_join.signatures(x, np.array([0, len(x)]), inner=inner)[0].tolist()) for x in (a, b)]
             shared = sigs[0] & sigs[1]
             assert shared
-            least = np.maximum(*(ngram_join.sure(x, np.array([0, len(x)])) for x in (a, b)))[0]
+            least = np.maximum(*(ngram_join.sure(x, np.array([0, len(x)]), inner=inner) for x in (a, b)))[0]
             assert any(sum(s & 1 == bit for s in shared) >= least[bit] for bit in (0, 1))
-            assert ngram_join.may_match(len(a), ngram_join.sketch(a), len(b), ngram_join.sketch(b), 75)
+            x, y = ngram_join.sketch(a), ngram_join.sketch(b)
+            assert max(len(x), len(y)) <= 2 * min(len(x), len(y))
+            x, y = (ngram_join.folded(z, min(len(x), len(y))) for z in (x, y))
+            assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= ngram_join.differences(len(a) + len(b))
 
 
 def test_near_duplicates_awkward(awkward, empty):
