@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,15 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and broadcasts that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collector, which may not run for long where the driver does little.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(key: str | Column, modulus: int) -> Column:
     """crc32(key as text) mod ``modulus``; a null key counts as empty text."""
     key = F.col(key) if isinstance(key, str) else key

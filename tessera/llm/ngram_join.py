@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from . import textkit as tk
-from .common import drop_table, shuffle_partitions, stored
+from .common import drop_table, release, shuffle_partitions, stored
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -411,6 +411,7 @@ def near_duplicates(
     pairs = pairs.select(*wide).unionByName(stars.select(*wide)).join(side("b", "sketch"), "b").join(side("a", "sketch"), "a")
     pairs = stored(pairs.where(_may_match(percent)).select(*wide[:4]), "pairs")
     drop_table(spark, found)
+    release(spark)
 
     def ends(some: DataFrame) -> DataFrame:
         return some.select(F.col("a").alias("cls"), F.col("rep_a").alias("rep")).union(some.select("b", "rep_b")).distinct()
