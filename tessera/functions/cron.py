@@ -11,15 +11,15 @@ from ..policy import InvalidRequest
 MACROS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0", "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *"}
 BOUNDS = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 6)]
 
-#: Periodic jobs and their schedules.
+# Periodic jobs and their schedules.
 DEFAULT_JOBS = {
-    "media-gc-mark": "*/15 * * * *",
-    "media-gc-delete": "*/30 * * * *",
-    "media-upload-sweep": "*/10 * * * *",
-    "event-requeue": "* * * * *",
-    "event-retention": "0 3 * * *",
-    "inbox-retention": "30 3 * * *",
-    "shard-gc": "*/5 * * * *",
+    "shard-gc": "*/2 * * * *",
+    "event-reaper": "* * * * *",
+    "inbox-cleanup": "0 * * * *",
+    "media-gc-mark": "*/5 * * * *",
+    "media-gc-sweep": "*/15 * * * *",
+    "media-upload-abort": "*/5 * * * *",
+    "event-cleanup": "0 */6 * * *",
 }
 
 

@@ -20,48 +20,52 @@ def seeds(docs: DataFrame, query: list[float], k: int) -> DataFrame:
     return search.top_k(docs, query, k, wide=False)
 
 
-def seed_scores(doc_entities: DataFrame, seed_docs: DataFrame) -> DataFrame:
-    """``node, s``: weight of each entity over the seed documents, which are a bounded number of rows."""
-    hit = doc_entities.join(F.broadcast(seed_docs.select(F.col("id").alias("doc_id"))), "doc_id")
-    return hit.where("entity_id <> ''").groupBy(F.col("entity_id").alias("node")).agg(F.sum(mapping_weight()).alias("s"))
+def seed_scores(doc_entities: DataFrame, seed_docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``node, s``: weight of each entity over the seed documents, which are a bounded number of rows (of each shard, ``by`` its column)."""
+    few = seed_docs.select(*by, F.col("id").alias("doc_id"))
+    hit = doc_entities.join(few if by else F.broadcast(few), [*by, "doc_id"])
+    return hit.where("entity_id <> ''").groupBy(*by, F.col("entity_id").alias("node")).agg(F.sum(mapping_weight()).alias("s"))
 
 
-def neighbours(edges: DataFrame, cap: int, edge_types: tuple[str, ...] = ()) -> DataFrame:
-    """``src, dst, w``: edges in both directions, the ``cap`` heaviest of each source.
+def neighbours(edges: DataFrame, cap: int, edge_types: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """``src, dst, w``: edges in both directions, the ``cap`` heaviest of each source (in each shard).
 
     Types are filtered first; weight null counts as one; zero weights count in the cap and are dropped by the walk.
     """
     if edge_types:
         edges = edges.where(F.col("rel_type").isin(*edge_types))
     w = F.coalesce("weight", F.lit(1.0)).alias("w")
-    both = edges.select("src", "dst", w, "rel_type", "chunk_id").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), w, "rel_type", "chunk_id"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst", "rel_type", "chunk_id"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= cap).select("src", "dst", "w")
+    both = edges.select(*by, "src", "dst", w, "rel_type", "chunk_id").unionByName(edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"), w, "rel_type", "chunk_id"))
+    rank = F.row_number().over(Window.partitionBy(*by, "src").orderBy(F.desc("w"), "dst", "rel_type", "chunk_id"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= cap).select(*by, "src", "dst", "w")
 
 
-def step(frontier: DataFrame, capped: DataFrame, decay: float) -> DataFrame:
+def step(frontier: DataFrame, capped: DataFrame, decay: float, by: tuple[str, ...] = ()) -> DataFrame:
     """One hop: each frontier score times edge weight times decay, summed by target; walks may come back."""
-    walk = frontier.where("s > 0").join(capped.where("w > 0"), F.col("node") == F.col("src"))
-    return walk.groupBy("dst").agg(F.sum(F.col("s") * F.col("w") * F.lit(float(decay))).alias("s")).select(F.col("dst").alias("node"), "s")
+    walk = frontier.where("s > 0").withColumnRenamed("node", "src").join(capped.where("w > 0"), [*by, "src"])
+    return walk.groupBy(*by, F.col("dst").alias("node")).agg(F.sum(F.col("s") * F.col("w") * F.lit(float(decay))).alias("s"))
 
 
-def expand(start: DataFrame, capped: DataFrame, hops: int, decay: float) -> DataFrame:
+def expand(start: DataFrame, capped: DataFrame, hops: int, decay: float, by: tuple[str, ...] = ()) -> DataFrame:
     """``node, s``: the start's scores and those of all hops, summed."""
     frontier, every = start, start
     for _ in range(hops):
-        frontier = step(frontier, capped, decay)
+        frontier = step(frontier, capped, decay, by)
         every = every.unionByName(frontier)
-    return every.groupBy("node").agg(F.sum("s").alias("s"))
+    return every.groupBy(*by, "node").agg(F.sum("s").alias("s"))
 
 
-def top_entities(scores: DataFrame, n: int) -> DataFrame:
-    return scores.orderBy(F.desc("s"), "node").limit(n)
+def top_entities(scores: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    if not by:
+        return scores.orderBy(F.desc("s"), "node").limit(n)
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("s"), "node"))).where(F.col("rank") <= n).drop("rank")
 
 
-def doc_scores(doc_entities: DataFrame, scores: DataFrame) -> DataFrame:
-    """``id, g``: each document's entity scores times weights.  ``scores`` is cut to the entity limit, and so is bounded."""
-    hit = doc_entities.join(F.broadcast(scores), doc_entities["entity_id"] == scores["node"])
-    return hit.groupBy(F.col("doc_id").alias("id")).agg(F.sum(F.col("s") * mapping_weight()).alias("g"))
+def doc_scores(doc_entities: DataFrame, scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``id, g``: each document's entity scores times weights.  ``scores`` is cut to the entity limit, and so is bounded (in each shard)."""
+    named = scores.withColumnRenamed("node", "entity_id")
+    hit = doc_entities.join(named if by else F.broadcast(named), [*by, "entity_id"])
+    return hit.groupBy(*by, F.col("doc_id").alias("id")).agg(F.sum(F.col("s") * mapping_weight()).alias("g"))
 
 
 def blend(docs: DataFrame, seed_docs: DataFrame, graph_scores: DataFrame, query: list[float], alpha: float, shard: str | None = None) -> DataFrame:
@@ -105,16 +109,16 @@ def graph_search(docs: DataFrame, doc_entities: DataFrame, edges: DataFrame, que
     return ranked(blend(docs, found, doc_scores(doc_entities, scores), query, x.alpha), k)
 
 
-def graph_search_by_shard(docs: DataFrame, doc_entities: DataFrame, edges: DataFrame, query: list[float], k: int, expansion: Expansion, shard_ids: list[str]) -> DataFrame:
-    """Each shard searched on its own, as where shards are files, and the results merged."""
-    parts = None
-    for s in shard_ids:
-        mine = [t.where(F.col("shard_id") == s).drop("shard_id") for t in (docs, doc_entities, edges)]
-        hits = graph_search(*mine, query, k, expansion).withColumn("shard_id", F.lit(s))
-        parts = hits if parts is None else parts.unionByName(hits)
-    if parts is None:
-        raise GraphUnavailable("no shard of the selection has graph data")
-    return parts.orderBy(F.desc("score"), "distance", "id").limit(k)
+def graph_search_by_shard(docs: DataFrame, doc_entities: DataFrame, edges: DataFrame, query: list[float], k: int, expansion: Expansion, shard: str = "shard_id") -> DataFrame:
+    """``shard, id, distance, graph_score, score``: each shard searched on its own, as where shards are files, and the results merged.
+
+    All tables carry the column ``shard``.  One plan searches every shard: its seeds, walks and limits are those of the shard.
+    """
+    x, by = expansion.normalised(k), (shard,)
+    found = search.local_top_k(docs, query, x.seed_k, shard).select(shard, "id", "distance")
+    scores = expand(seed_scores(doc_entities, found, by), neighbours(edges, x.max_neighbors, x.edge_types, by), x.hops, x.decay, by)
+    best = doc_scores(doc_entities, top_entities(scores, x.max_entities, by), by)
+    return ranked(blend(docs, found, best, query, x.alpha, shard), k)
 
 
 def ensure_ready(doc_entities: DataFrame | None, edges: DataFrame | None) -> None:

@@ -76,19 +76,17 @@ def graph_subset(docs: DataFrame, doc_entities: DataFrame, entities: DataFrame,
     return own, named, linked
 
 
-def reconstruct(parts: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """One snapshot from shards: entities once by id, the first shard's name; all other rows as they are."""
-    out: dict[str, DataFrame] = {}
-    for name in ("docs", "doc_entities", "edges"):
-        frames = [p[name] for p in parts if name in p]
-        if frames:
-            out[name] = frames[0]
-            for f in frames[1:]:
-                out[name] = out[name].unionByName(f)
-    named = [p["entities"].withColumn("__shard", F.lit(i)) for i, p in enumerate(parts) if "entities" in p]
-    if named:
-        every = named[0]
-        for f in named[1:]:
-            every = every.unionByName(f)
-        out["entities"] = every.groupBy("id").agg(F.min_by("name", "__shard").alias("name"))
+def graph_subsets(docs: DataFrame, doc_entities: DataFrame, entities: DataFrame, edges: DataFrame, shard: str = "shard_id") -> dict[str, DataFrame]:
+    """The tables of all shards in one pass, as ``graph_subset`` cuts them, each row with its ``shard``; ``docs`` carry it."""
+    own = doc_entities.join(docs.select(F.col("id").alias("doc_id"), shard), "doc_id")
+    named = entities.join(own.select(F.col("entity_id").alias("id"), shard).distinct(), "id")
+    linked = edges.join(own.select("chunk_id", shard).distinct(), "chunk_id").select(*edges.columns, shard).distinct()
+    return {"docs": docs, "doc_entities": own, "entities": named.dropDuplicates(["id", shard]), "edges": linked}
+
+
+def reconstruct(parts: dict[str, DataFrame], shard: str = "shard_id") -> dict[str, DataFrame]:
+    """One snapshot from the tables of all shards: entities once by id, the first shard's name; all other rows as they are."""
+    out = {name: rows.drop(shard) for name, rows in parts.items() if name != "entities"}
+    if "entities" in parts:
+        out["entities"] = parts["entities"].groupBy("id").agg(F.min_by("name", shard).alias("name"))
     return out

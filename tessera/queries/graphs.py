@@ -38,8 +38,7 @@ def _by_shard(t: Tables):
     mapped = t("doc_entities").join(where.withColumnRenamed("id", "doc_id"), "doc_id")
     chunks = mapped.select("chunk_id", "shard_id").distinct()
     links = t("edges").join(chunks, "chunk_id").select(*t("edges").columns, "shard_id")
-    ids = [r["shard_id"] for r in where.select("shard_id").distinct().orderBy("shard_id").limit(2).collect()]
-    return graph.graph_search_by_shard(placed, mapped, links, t.query(), K, Expansion(), ids).select("shard_id", "id", "distance", "graph_score", "score")
+    return graph.graph_search_by_shard(placed, mapped, links, t.query(), K, Expansion()).select("shard_id", "id", "distance", "graph_score", "score")
 
 
 def _adaptive(t: Tables, floor: float):
@@ -106,13 +105,23 @@ r AS (SELECT d.id, d.distance, coalesce(g.g, 0::DOUBLE) AS graph_score, {alpha}:
 SELECT id, distance, round(graph_score + 1e-9::DOUBLE, 6) AS graph_score, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, distance, id LIMIT 10"""
 
 
-def _shard_sql(shard: str) -> str:
-    inner = _search_sql(tables="dist AS (SELECT * FROM dist0 WHERE shard_id = '%s'), doc_entities AS (SELECT de.* FROM de0 de JOIN dist ON dist.id = de.doc_id), edges AS (SELECT e.* FROM ed0 e JOIN (SELECT DISTINCT chunk_id FROM doc_entities) c USING (chunk_id))" % shard)
-    return f"SELECT '{shard}' AS shard_id, * FROM ({inner}) t"
-
-
 _BY_SHARD = with_tables(
-    f"WITH {DIST.replace('dist AS', 'alldist AS')}, {SHARDED}, dist0 AS (SELECT a.*, s.shard_id FROM alldist a JOIN sharded s USING (id)), de0 AS (SELECT * FROM doc_entities), ed0 AS (SELECT * FROM edges), both_ AS ({_shard_sql('shard-00000')} UNION ALL {_shard_sql('shard-00001')}) SELECT * FROM both_ ORDER BY score DESC, distance, id LIMIT 10",
+    f"""WITH {DIST.replace('dist AS', 'alldist AS')}, {SHARDED}, dist AS (SELECT a.*, s.shard_id FROM alldist a JOIN sharded s USING (id)),
+    de AS (SELECT d.doc_id, d.entity_id, d.chunk_id, CASE WHEN coalesce(d.weight, 1.0::DOUBLE) <= 0 THEN 1.0::DOUBLE ELSE coalesce(d.weight, 1.0::DOUBLE) END AS w, s.shard_id FROM doc_entities d JOIN sharded s ON s.id = d.doc_id),
+    ed AS (SELECT e.*, c.shard_id FROM edges e JOIN (SELECT DISTINCT chunk_id, shard_id FROM de) c USING (chunk_id)),
+    seeds AS (SELECT shard_id, id FROM (SELECT shard_id, id, row_number() OVER (PARTITION BY shard_id ORDER BY distance, id) AS rn FROM dist) t WHERE rn <= 10),
+    e0 AS (SELECT de.shard_id, de.entity_id AS node, sum(w) AS s FROM de JOIN seeds ON de.doc_id = seeds.id WHERE de.entity_id <> '' GROUP BY 1, 2),
+    und AS (SELECT shard_id, src, dst, coalesce(weight, 1.0::DOUBLE) AS w, rel_type, chunk_id FROM ed UNION ALL SELECT shard_id, dst, src, coalesce(weight, 1.0::DOUBLE), rel_type, chunk_id FROM ed),
+    cap AS (SELECT shard_id, src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY shard_id, src ORDER BY w DESC, dst, rel_type, chunk_id) AS rn FROM und) t WHERE rn <= 25),
+    h1 AS (SELECT cap.shard_id, cap.dst AS node, sum(e0.s * cap.w * 0.7::DOUBLE) AS s FROM e0 JOIN cap ON cap.src = e0.node AND cap.shard_id = e0.shard_id WHERE cap.w > 0 AND e0.s > 0 GROUP BY 1, 2),
+    h2 AS (SELECT cap.shard_id, cap.dst AS node, sum(h1.s * cap.w * 0.7::DOUBLE) AS s FROM h1 JOIN cap ON cap.src = h1.node AND cap.shard_id = h1.shard_id WHERE cap.w > 0 AND h1.s > 0 GROUP BY 1, 2),
+    ent0 AS (SELECT shard_id, node, sum(s) AS s FROM (SELECT * FROM e0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) t GROUP BY 1, 2),
+    ent AS (SELECT shard_id, node, s FROM (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY s DESC, node) AS rn FROM ent0) t WHERE rn <= 1000),
+    g AS (SELECT de.shard_id, de.doc_id AS id, sum(ent.s * de.w) AS g FROM de JOIN ent ON de.entity_id = ent.node AND de.shard_id = ent.shard_id GROUP BY 1, 2),
+    mx AS (SELECT shard_id, greatest(max(g), 0) AS m FROM g GROUP BY 1), cand AS (SELECT shard_id, id FROM seeds UNION SELECT shard_id, id FROM g),
+    r AS (SELECT d.shard_id, d.id, d.distance, coalesce(g.g, 0::DOUBLE) AS graph_score, 0.7::DOUBLE * (1 / (1 + d.distance)) + 0.3::DOUBLE * CASE WHEN mx.m > 0 THEN coalesce(g.g, 0::DOUBLE) / mx.m ELSE 0::DOUBLE END AS score
+      FROM cand JOIN dist d ON d.id = cand.id LEFT JOIN g ON g.id = cand.id LEFT JOIN mx ON mx.shard_id = cand.shard_id)
+    SELECT shard_id, id, distance, round(graph_score + 1e-9::DOUBLE, 6) AS graph_score, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, distance, id LIMIT 10""",
     "docs", "doc_entities", "edges",
 )
 _GRAPH = ("docs", "doc_entities", "edges")

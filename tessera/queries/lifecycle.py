@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
@@ -39,17 +41,10 @@ def _soft(t: Tables):
 
 def _reconstructed(t: Tables):
     placed = shards.assign(t("docs"), 100)
-    parts = []
-    for s in ("shard-00000", "shard-00001", "shard-00002"):
-        docs = placed.where(F.col("shard_id") == s).drop("shard_id")
-        own, named, links = shards.graph_subset(docs, t("doc_entities"), t("entities"), t("edges"))
-        parts.append({"docs": docs.select("id"), "doc_entities": own, "entities": named, "edges": links})
-    whole = shards.reconstruct(parts)
-    out = None
-    for name in ("docs", "doc_entities", "entities", "edges"):
-        n = whole[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    whole = shards.reconstruct(shards.graph_subsets(placed, t("doc_entities"), t("entities"), t("edges")))
+    names = {"docs": F.col("id"), "doc_entities": F.concat_ws(" ", "doc_id", "entity_id", "chunk_id"), "entities": F.concat_ws(" ", "id", "name"), "edges": F.concat_ws(" ", "src", "dst", "rel_type", "chunk_id")}
+    out = [whole[k].groupBy(v.alias("name")).agg(F.count("*").alias("n")).select(F.lit(k).alias("table_name"), "name", "n") for k, v in names.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), out)
 
 
 def _gc(t: Tables):
@@ -126,10 +121,11 @@ QUERIES = {
     "reconstruct_union": (
         _reconstructed,
         with_tables(
-            """WITH d AS (SELECT id, floor((row_number() OVER (ORDER BY id) - 1) / 100.0) AS s FROM docs), own AS (SELECT de.*, s FROM doc_entities de JOIN d ON d.id = de.doc_id WHERE s < 3)
-            SELECT 'docs' AS table_name, count(*) AS n FROM d WHERE s < 3 UNION ALL SELECT 'doc_entities', count(*) FROM own UNION ALL SELECT 'entities', count(DISTINCT entity_id) FROM own
-            UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT e.*, s FROM edges e JOIN own USING (chunk_id)) t""",
-            "docs", "doc_entities", "edges",
+            """SELECT 'docs' AS table_name, id AS name, count(*) AS n FROM docs GROUP BY id
+            UNION ALL SELECT 'doc_entities', concat_ws(' ', doc_id, entity_id, chunk_id), count(*) FROM doc_entities GROUP BY 2
+            UNION ALL SELECT 'entities', concat_ws(' ', id, name), 1 FROM entities
+            UNION ALL SELECT 'edges', concat_ws(' ', src, dst, rel_type, chunk_id), count(*) FROM (SELECT DISTINCT * FROM edges) t GROUP BY 2""",
+            "docs", "doc_entities", "entities", "edges",
         ),
     ),
     "compaction_tiers": (

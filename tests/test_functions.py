@@ -52,6 +52,11 @@ def test_remote_embedder_restores_the_order():
     assert run(["a", "b", "c"]) == [[0.0], [1.0], [2.0]]
 
 
+def test_default_jobs():
+    assert cron.DEFAULT_JOBS["shard-gc"] == "*/2 * * * *" and cron.DEFAULT_JOBS["event-cleanup"] == "0 */6 * * *" and len(cron.DEFAULT_JOBS) == 7
+    assert all(cron.fields(x) for x in cron.DEFAULT_JOBS.values())
+
+
 def test_cron():
     assert cron.fields("@daily") == [{0}, {0}, set(range(1, 32)), set(range(1, 13)), set(range(7))]
     assert cron.fields("*/20 1-3 1,5 * 0")[0] == {0, 20, 40}
