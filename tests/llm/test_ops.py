@@ -68,46 +68,59 @@ def test_shingles_against_sets():
 # -- 1: Katz ---------------------------------------------------------------------------------------
 
 
-def katz_by_hand(texts, train):
+def katz_by_hand(texts, train, order):
+    """Probabilities by the recursive definition, from counters."""
     end = None
     toks = [words(t) + [end] for t in texts]
-    uni, pair = Counter(), Counter()
+    counts = [Counter() for _ in range(order + 1)]  # by number of words
     for w, t in zip(toks, train, strict=True):
-        if t:
-            uni.update(w)
-            pair.update(zip([end] + w[:-1], w, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    d1, d2 = (katz.discounts(dict(Counter(c.values()))) for c in (uni, pair))
-    cut = lambda d, c: c if c > katz.K else d[c] * c
-    kept = sum(cut(d1, c) for c in uni.values())
+        for m in range(1, order + 1) if t else ():
+            padded = [end] + w
+            counts[m].update(tuple(padded[i - m + 1 : i + 1]) for i in range(1, len(padded)) if i - m + 1 >= 0)
+    uni, n = counts[1], sum(counts[1].values())
+    factor = [None] + [katz.discounts(dict(Counter(c.values()))) for c in counts[1:]]
+    cut = lambda m, c: c if c > katz.K else factor[m][c] * c
+    kept = sum(cut(1, c) for c in uni.values())
     total = n if kept < n - 1e-9 else n + 1
-    one = lambda w: cut(d1, uni[w]) / total if w in uni else 1 - kept / total
-    after = defaultdict(list)
-    for (y, z), c in pair.items():
-        after[y].append((z, c))
-    weight = {}
-    for y, found in after.items():
-        full = all(c > katz.K for _, c in found)
-        den = uni[y] + full
-        weight[y] = den, (1 / den if full else 1 - sum(cut(d2, c) for _, c in found) / uni[y]) / (1 - sum(one(z) for z, _ in found))
-
-    def two(y, z):
-        if y not in uni:
-            return one(z)
-        den, alpha = weight[y]
-        return cut(d2, pair[y, z]) / den if (y, z) in pair else alpha * one(z)
-
-    for y in list(after)[:10]:
-        assert abs(sum(two(y, z) for z in uni) + two(y, b"\0unknown") - 1) < 1e-9
-    return [(len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), sum(math.log10(two(y, z)) for y, z in zip([end] + w[:-1], w, strict=True))) for w in toks]
-
-
-def check_katz(docs, buckets=None):
+    after = [defaultdict(list) for _ in range(order + 1)]
+    for m in range(2, order + 1):
+        for gram in counts[m]:
+            after[m][gram[:-1]].append(gram[-1])
+    alphas = {}
+
+    def p(context, z):
+        m = len(context) + 1
+        if m == 1:
+            return cut(1, uni[(z,)]) / total if (z,) in uni else 1 - kept / total
+        seen = after[m].get(context)
+        if not seen:
+            return p(context[1:], z)
+        whole = sum(counts[m][(*context, x)] for x in seen)
+        full = all(counts[m][(*context, x)] > katz.K for x in seen)
+        if (*context, z) in counts[m]:
+            return cut(m, counts[m][(*context, z)]) / (whole + full)
+        if context not in alphas:
+            left = 1 / (whole + 1) if full else 1 - sum(cut(m, counts[m][(*context, x)]) for x in seen) / whole
+            alphas[context] = left / (1 - sum(p(context[1:], x) for x in seen))
+        return alphas[context] * p(context[1:], z)
+
+    for m in range(2, order + 1):
+        for y in list(after[m])[:5]:
+            assert abs(sum(p(y, z) for (z,) in uni) + p(y, b"\0unknown") - 1) < 1e-9
+    out = []
+    for w in toks:
+        padded = [end] + w
+        score = sum(math.log10(p(tuple(padded[max(0, i - order + 1) : i]), padded[i])) for i in range(1, len(padded)))
+        out.append((len(w), sum((x,) in uni for x in w), n, sum(math.log10((uni[(x,)] + 0.1) / (n + 0.1 * (len(uni) + 1))) for x in w), score))
+    return out
+
+
+def check_katz(docs, buckets=None, order=3):
     got = {}
-    for r in katz.score(docs, "train", buckets=buckets).collect():
+    for r in katz.score(docs, "train", order=order, buckets=buckets).collect():
         got.setdefault(r.doc_id, []).append(r)
     data = docs.select("doc_id", "text", "train").collect()
-    for row, want in zip(data, katz_by_hand([r.text for r in data], [bool(r.train) for r in data]), strict=True):
+    for row, want in zip(data, katz_by_hand([r.text for r in data], [bool(r.train) for r in data], order), strict=True):
         r = got[row.doc_id][0]
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
         assert r.base_score == pytest.approx(want[3], rel=1e-9) and r.score == pytest.approx(want[4], rel=1e-9)
@@ -121,7 +134,8 @@ def test_katz_against_brute_force(spark, sf_dir):
 
 def test_katz_with_spread_contexts_and_many_chunks(spark, monkeypatch):
     rows_ = [(i, "the a the b the c the d " * (i + 1) + f"the w{i}", i % 4 != 0) for i in range(12)]
-    check_katz(spark.createDataFrame(rows_, "doc_id long, text string, train boolean").repartition(5), buckets=3)
+    for order in (1, 2, 3, 4):
+        check_katz(spark.createDataFrame(rows_, "doc_id long, text string, train boolean").repartition(5), buckets=3, order=order)
 
 
 def test_katz_awkward(awkward, empty):
