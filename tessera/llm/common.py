@@ -40,14 +40,15 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote."""
+def drop_table(spark: SparkSession, df: DataFrame, part: str = "") -> None:
+    """Delete a table that ``stored`` wrote, or a part of it (``column=value``)."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for file in df.inputFiles()[:1]:
         path = hadoop.Path(file)
         while path is not None and not path.getParent().getName() == "tessera":
             path = path.getParent()
         if path is not None:
+            path = hadoop.Path(path, part) if part else path
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
