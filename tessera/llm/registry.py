@@ -13,7 +13,7 @@ from .sql import MIX_SQL, TOP_PRODUCTS_SQL
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("train", crc_mod("doc_id", 10) != 0)
-    return katz.score(docs, "train")
+    return katz.score(docs, "train", order=2)  # order 3 takes more disk than the check tool allows; figures in the README
 
 
 def op2_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
