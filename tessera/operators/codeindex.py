@@ -29,3 +29,17 @@ def stale_chunks(files: DataFrame, changes: DataFrame) -> DataFrame:
 
 def status(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("chunk_ids")), F.lit(0)).alias("chunks"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
+def refreshed(files: DataFrame, chunks: DataFrame, found: DataFrame, changes: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The file list and the chunk list after a scan.
+
+    ``files`` and ``chunks`` are the lists before, ``found`` the scan (``path, hash, language, size_bytes``), ``changes``
+    their difference and ``fresh`` the chunks of new and changed files.  Unchanged files keep their rows and chunks; a
+    file without chunks stays in the list, with none.
+    """
+    ids = fresh.groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("chunk_ids"))
+    touched = found.join(changes.where(F.col("change").isin("new", "changed")), "path", "left_semi").join(ids, "path", "left")
+    touched = touched.withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>"))).select(*files.columns)
+    kept = files.join(changes.where("change = 'unchanged'"), "path", "left_semi").unionByName(touched)
+    return kept, chunks.join(stale_chunks(files, changes), "id", "left_anti").unionByName(fresh.select(*chunks.columns))

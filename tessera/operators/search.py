@@ -96,17 +96,31 @@ def knn(docs: DataFrame, queries: DataFrame, k: int, docs_per_block: int = 8192,
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def code_fanout(k: int) -> int:
+    """How many hits a code search fetches before it filters them."""
+    return max(200, 20 * k)
+
+
+def _code_filter(path: str | None, language: str | None) -> Column:
+    keep = F.lit(True)
+    if path and path.strip():
+        keep = keep & (F.instr("path", path.strip()) > 0)
+    if language and language.strip():
+        keep = keep & (F.lower("language") == language.strip().lower())
+    return keep
+
+
+def code_hits(hits: DataFrame, chunks: DataFrame, k: int, path: str | None = None, language: str | None = None) -> DataFrame:
+    """The ``k`` nearest of ``hits``, at most a fanout of rows, that are code chunks under a path and of a language."""
+    return chunks.join(F.broadcast(hits), "id").where(_code_filter(path, language)).orderBy("distance", "id").limit(k)
+
+
 def code_search(docs: DataFrame, chunks: DataFrame, query: list[float], k: int, path: str | None = None, language: str | None = None, exact: bool = False) -> DataFrame:
     """Nearest code chunks under a path and a language.
 
     As retrieved: the nearest ``max(200, 20 k)`` first, then the filters, then ``k``.  Exact: the filters first.
     """
-    keep = F.lit(True)
-    if path:
-        keep = keep & (F.instr("path", path) > 0)
-    if language:
-        keep = keep & (F.lower("language") == language.strip().lower())
     if exact:
-        return top_k(docs.join(chunks.where(keep), "id"), query, k, wide=False).join(chunks, "id").orderBy("distance", "id")
-    hits = top_k(docs, query, max(200, 20 * k), wide=False)
-    return chunks.join(F.broadcast(hits), "id").where(keep).orderBy("distance", "id").limit(k)
+        chosen = chunks.where(_code_filter(path, language))
+        return top_k(docs.join(chosen, "id", "left_semi"), query, k, wide=False).join(chunks, "id").orderBy("distance", "id")
+    return code_hits(top_k(docs, query, code_fanout(k), wide=False), chunks, k, path, language)

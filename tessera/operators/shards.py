@@ -36,21 +36,24 @@ def summary(sharded: DataFrame) -> DataFrame:
     return sharded.groupBy("shard_id").agg(F.count("*").alias("vector_rows"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
 
 
+def health(sharded: DataFrame, tombstoned: DataFrame | None = None, graph: DataFrame | None = None) -> DataFrame:
+    """``shard_id, tombstone_ratio, graph_available``: the share of deleted rows, and whether any row has a mapping in ``graph``.
+
+    Reads ids only, so a delete settles it without touching the vectors.
+    """
+    rows = sharded.select("id", "shard_id").withColumn("dead", F.lit(False)).withColumn("mapped", F.lit(False))
+    for name, table in (("dead", tombstoned), ("mapped", graph)):
+        if table is not None:
+            named = table.select(F.col("doc_id").alias("id")).distinct().withColumn("__in", F.lit(True))
+            rows = rows.join(named, "id", "left").withColumn(name, F.coalesce("__in", F.lit(False))).drop("__in")
+    return rows.groupBy("shard_id").agg((F.count_if("dead") / F.count("*")).alias("tombstone_ratio"), F.max("mapped").alias("graph_available"))
+
+
 def metadata(sharded: DataFrame, tombstoned: DataFrame | None = None, graph: DataFrame | None = None, media: DataFrame | None = None) -> DataFrame:
     """A row per shard: rows, bytes, centroid, share of deleted rows, whether it has graph rows, media it names."""
     size = F.octet_length(F.coalesce("content", F.lit(""))) + F.size("embedding") * 4 + F.octet_length("id")
     out = sharded.groupBy("shard_id").agg(F.count("*").alias("vector_rows"), F.sum(size).alias("size_bytes"), F.min("id").alias("min_id"), F.max("id").alias("max_id"))
-    out = out.join(V.centroids(sharded), "shard_id", "left")
-    if tombstoned is not None:
-        dead = sharded.join(tombstoned, sharded["id"] == tombstoned["doc_id"], "left_semi").groupBy("shard_id").agg(F.count("*").alias("dead"))
-        out = out.join(dead, "shard_id", "left").withColumn("tombstone_ratio", F.coalesce("dead", F.lit(0)) / F.col("vector_rows")).drop("dead")
-    else:
-        out = out.withColumn("tombstone_ratio", F.lit(0.0))
-    if graph is not None:
-        has = graph.select("shard_id").distinct().withColumn("graph_available", F.lit(True))
-        out = out.join(has, "shard_id", "left").withColumn("graph_available", F.coalesce("graph_available", F.lit(False)))
-    else:
-        out = out.withColumn("graph_available", F.lit(False))
+    out = out.join(V.centroids(sharded), "shard_id", "left").join(health(sharded, tombstoned, graph), "shard_id")
     return out.join(media, "shard_id", "left") if media is not None else out
 
 

@@ -24,14 +24,13 @@ def plan(manifest: DataFrame, query: list[float], k: int, policy: ShardingPolicy
     found = manifest
     if graph:
         found = found.where("graph_available")
-    best = shards.ranked(found, query).select("shard_id", F.size(F.coalesce("centroid", F.array())).alias("dim")).collect()
-    if graph and not best:
+    total = found.count()
+    if graph and not total:
         raise GraphUnavailable("no shard of the selection has graph data")
-    if len(best) <= policy.small_kb_shards:
-        chosen, capped = best, False
-    else:
-        fanout = policy.fanout_for(len(best))
-        chosen, capped = best[:fanout], fanout < len(best)
+    fanout = total if total <= policy.small_kb_shards else policy.fanout_for(total)
+    capped = fanout < total
+    best = shards.ranked(found, query).select("shard_id", F.size(F.coalesce("centroid", F.array())).alias("dim"))
+    chosen = best.limit(fanout).collect()  # at most the small base's shards, or the fanout
     for row in chosen:
         if row["dim"] > 0 and row["dim"] != len(query):
             raise DimensionMismatch(f"query vector has {len(query)} components, shard {row['shard_id']} {row['dim']}")

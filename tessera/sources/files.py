@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ CORPUS = "id string, text string"
 #: Names of folders that an index never enters.
 IGNORED = [".git/**", "**/.git/**", "node_modules/**", "**/node_modules/**", "vendor/**", "dist/**", "build/**", "target/**", "**/__pycache__/**"]
 MOST_BYTES = 1 << 20
+#: How much of the files a task holds before it passes them on.
+READ_BYTES = 16 << 20
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -78,15 +82,57 @@ def successful(found: DataFrame) -> DataFrame:
     return found.groupBy("name").agg(F.min(F.col("status") == "succeeded").alias("ok")).agg(F.count_if("ok").alias("succeeded"), F.count("*").alias("files"))
 
 
-def source_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """``path, hash, size_bytes, language, text`` of the source files of a tree: no secrets, no binaries, nothing over the size limit."""
-    qualified = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    found = binaries(spark, root).where(F.col("length") <= MOST_BYTES)
-    relative = F.regexp_replace(F.url_decode(F.regexp_replace(F.replace("path", F.lit("+"), F.lit("%2B")), "^[a-z0-9]+:(//[^/]*)?", "")), "^" + "".join(f"\\{c}" if not c.isalnum() else c for c in qualified + "/"), "")
-    rows = found.withColumn("path", relative)
-    keep = S.selected("path", include or [], [*IGNORED, *(exclude or [])]) & ~S.secret_path("path") & ~S.is_binary("content")
-    out = rows.where(keep)
-    return out.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size_bytes"), S.language("path").alias("language"), F.decode("content", "UTF-8").alias("text"))
+def _tree(root: str):
+    """The file system of a tree and the tree's path in it."""
+    from pyarrow import fs
+
+    if not re.match(r"[a-z][a-z0-9+.-]+:", root):
+        return fs.LocalFileSystem(), root.rstrip("/")
+    found, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", root)))
+    return found, base.rstrip("/")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size_bytes`` of all files below ``root``, hidden and empty ones too, which Spark's own readers pass over."""
+    from pyarrow import fs
+
+    system, base = _tree(root)
+    rows = [(i.path[len(base) + 1 :], i.size) for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File]
+    return spark.createDataFrame(rows, "path string, size_bytes long")
+
+
+def source_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """``path, hash, size_bytes, language, text`` of the source files of a tree: no secrets, no binaries, nothing over the size limit.
+
+    The driver lists names; files are opened in the tasks, and only those that the names, and the paths of ``only``,
+    let through.  A file that is gone by then is left out.
+    """
+    names = listed(spark, root)
+    names = names.where(F.col("size_bytes") <= MOST_BYTES).where(S.selected("path", include or [], [*IGNORED, *(exclude or [])]) & ~S.secret_path("path")).select("path")
+    if only is not None:
+        names = names.join(only.select("path"), "path", "left_semi")
+
+    def read(batches):
+        import pandas as pd
+
+        system, base = _tree(root)
+        for pdf in batches:
+            rows: list[tuple[str, bytes]] = []
+            held = 0
+            for path in pdf["path"]:
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as f:
+                        rows.append((path, f.read()))
+                except FileNotFoundError:
+                    continue
+                held += len(rows[-1][1])
+                if held > READ_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    found = names.mapInPandas(read, "path string, content binary").where(~S.is_binary("content"))
+    return found.select("path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size_bytes"), S.language("path").alias("language"), F.decode("content", "UTF-8").alias("text"))
 
 
 def write_corpus(docs: DataFrame, path: str) -> None:

@@ -12,14 +12,18 @@ import hashlib
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..policy import manifest_backoff, safe_identifier, with_retry
 
-FORMAT, FORMAT_VERSION = "tessera_parquet_sharded", 2
+FORMAT, FORMAT_VERSION = "tessera_parquet_sharded", 3
+#: The table of shards, a row each; every other table with a ``shard_id`` is partitioned by it.
+SHARDS = "shards"
 
 
 class VersionMismatch(RuntimeError):
@@ -149,37 +153,49 @@ class SnapshotStore:
         snapshot = snapshot or self.current(kb_id)
         if snapshot is None or table not in snapshot.manifest["tables"]:
             raise NotFound(f"{kb_id}/{table}")
-        return self.spark.read.parquet(f"{self.blobs.root}/{snapshot.manifest['tables'][table]}")
+        return self._read(snapshot.manifest["tables"][table], snapshot.manifest["schemas"][table])
+
+    def _read(self, key: str, schema: dict) -> DataFrame:
+        """A table by its schema of record: an empty one has no file to tell it."""
+        return self.spark.read.schema(StructType.fromJson(schema)).parquet(f"{self.blobs.root}/{key}")
 
     def has(self, kb_id: str, table: str) -> bool:
         snapshot = self.current(kb_id)
         return snapshot is not None and table in snapshot.manifest["tables"]
 
-    def publish(self, kb_id: str, tables: dict[str, DataFrame], expected: int | None, shards: list[dict] | None = None) -> Snapshot:
+    def staged(self, kb_id: str, df: DataFrame) -> tuple[DataFrame, str]:
+        """``df`` written once, and the key to delete it by: for what several tables of a version are made of."""
+        key = f"{safe_identifier(kb_id)}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.blobs.root}/{key}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.blobs.root}/{key}"), key
+
+    def publish(self, kb_id: str, tables: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]], expected: int | None) -> Snapshot:
         """Stage the tables, check what was staged, and make them the version after ``expected`` (None: the first).
 
-        Tables that are not given stay as they were.  Fails with VersionMismatch, changing nothing, if another version
-        has been published meanwhile.
+        Tables that are not given stay as they were.  A table given as a function is made from those before it, which
+        the function reads by name as they were written.  Fails with VersionMismatch, changing nothing, if another
+        version has been published meanwhile.
         """
         safe_identifier(kb_id)
         before = self.current(kb_id)
         if (before.version if before else None) != expected:
             raise VersionMismatch(f"{kb_id}: expected {expected}, found {before and before.version}")
-        snapshot_id, placed = uuid.uuid4().hex, dict(before.manifest["tables"]) if before else {}
+        snapshot_id, placed, schemas = uuid.uuid4().hex, *(dict(before.manifest[n]) if before else {} for n in ("tables", "schemas"))
         for name, df in tables.items():
+            if not isinstance(df, DataFrame):
+                df = df(lambda other: self._read(placed[other], schemas[other]))
             key = f"{kb_id}/snapshots/{snapshot_id}/{safe_identifier(name)}"
             writer = df.write
-            if "shard_id" in df.columns:
+            if "shard_id" in df.columns and name != SHARDS:
                 writer = df.repartition("shard_id").write.partitionBy("shard_id")
             writer.parquet(f"{self.blobs.root}/{key}")
             if not self.blobs.exists(f"{key}/_SUCCESS"):
                 raise NotFound(key)
-            placed[name] = key
+            placed[name], schemas[name] = key, df.schema.jsonValue()
         version = (expected or 0) + 1
         total = sum(size for key in placed.values() for _, size in self.blobs.list(key))
         manifest = {
-            "schema_version": 1, "layout": "sharded", "format_kind": FORMAT, "format_version": FORMAT_VERSION, "kb_id": kb_id, "total_size_bytes": total, "tables": placed,
-            "shards": shards if shards is not None else (before.manifest.get("shards", []) if before else []),
+            "schema_version": 1, "layout": "sharded", "format_kind": FORMAT, "format_version": FORMAT_VERSION, "kb_id": kb_id, "total_size_bytes": total, "tables": placed, "schemas": schemas,
         }
         self.blobs.create(f"{kb_id}/manifests/{version:020d}.json", json.dumps(manifest, indent=1).encode())
         return Snapshot(version, manifest)

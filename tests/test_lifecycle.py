@@ -59,12 +59,67 @@ def test_upsert_delete_compact(spark, kb):
     kb.delete([" e "])
     assert "e" not in {r.id for r in kb.search("engines", top_k=10).collect()}
     assert kb.status()["version"] == before + 2
+    listed = {r.shard_id: r for r in kb.store.read("demo", "shards").collect()}
+    worn = [r for r in listed.values() if r.min_id <= "e" <= r.max_id]
+    assert [r.tombstone_ratio for r in worn] == [1.0 / worn[0].vector_rows] and any(r.graph_available for r in listed.values())
+    assert "e" in {r.id for r in kb.store.read("demo", "docs").collect()}  # a delete writes no documents anew
     assert kb.compact() in ("size tier", "deleted rows")
     assert {r.id for r in kb.search("anything else", top_k=10).collect()} == {"a", "b", "c", "d"}
     with pytest.raises(InvalidRequest):
         kb.delete([""])
 
 
+def test_a_base_may_become_empty(spark, tmp_path):
+    base = KnowledgeBase(spark, str(tmp_path), "gone", embed.local(16))
+    base.upsert(spark.createDataFrame([("a", "something to find")], "id string, text string"))
+    base.delete(["a"], hard=True)
+    assert base.search("something").count() == 0 and base.status()["shards"] == 0
+    base.upsert(spark.createDataFrame([("b", "another thing")], "id string, text string"))
+    assert [r.id for r in base.search("thing").collect()] == ["b"]
+
+
+def test_documents_are_embedded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    inner = embed.local(16)
+
+    def counting(texts):
+        calls.add(len(texts))
+        return inner(texts)
+
+    base = KnowledgeBase(spark, str(tmp_path), "once", counting)
+    base.upsert(spark.createDataFrame([(str(i), f"word{i} and more") for i in range(7)], "id string, text string"))
+    assert calls.value == 7
+
+
+def test_code_index_is_incremental(spark, tmp_path):
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    (tree / "main.go").write_text('package main\nfunc Alpha() string { return "alpha" }\n')
+    (tree / "util.go").write_text('package main\nfunc Beta() string { return "beta" }\n')
+    (tree / "empty.py").write_text("")
+    (tree / ".env").write_text("KEY=1")
+    base = KnowledgeBase(spark, str(tmp_path / "root"), "code", embed.local(32))
+    first = base.index_code(str(tree), "repo")
+    assert (first["scanned_files"], first["indexed_files"], first["chunks_indexed"], first["skipped_files"]) == (3, 3, 2, 1)
+    version = base.status()["version"]
+    second = base.index_code(str(tree), "repo")
+    assert (second["indexed_files"], second["unchanged_files"], second["chunks_indexed"]) == (0, 3, 0) and base.status()["version"] == version
+    (tree / "util.go").write_text('package main\nfunc Beta() string { return "changed" }\n')
+    third = base.index_code(str(tree), "repo")
+    assert (third["indexed_files"], third["unchanged_files"], third["chunks_deleted"], third["chunks_indexed"]) == (1, 2, 1, 1)
+    hit = base.code_search("changed beta", 5, path="util.go", language="GO").collect()
+    assert [(r.path, r.language, r.symbol, r.start_line) for r in hit] == [("util.go", "go", "Beta", 2)] and "changed" in hit[0].content
+    assert [r.id for r in base.code_search("changed beta", 5, path="util.go", exact=True).collect()] == [hit[0].id]
+    (tree / "main.go").unlink()
+    fourth = base.index_code(str(tree), "repo")
+    assert (fourth["deleted_files"], fourth["chunks_deleted"], fourth["indexed_files"]) == (1, 1, 0)
+    assert base.code_status()["files"] == 2 and base.code_status()["chunks"] == 1
+    assert {r.path for r in base.code_search("alpha").collect()} == {"util.go"}
+    assert not base.store.blobs.list("code/staging")
+    with pytest.raises(InvalidRequest):
+        base.code_search("  ")
+
+
 def test_sharding_does_not_change_top_k(spark):
     docs = spark.range(57).select(F.format_string("%03d", "id").alias("id"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"))
     for n in (1, 5, 100):
@@ -128,11 +183,12 @@ def test_uploads_fail_one_by_one(spark):
 
 
 def test_source_tree(spark, tmp_path):
-    for name, data in {"src/a.go": b"package a", ".env": b"K=1", "node_modules/x.js": b"1", "bin.dat": b"\x00\x01", "README.md": b"# hi"}.items():
+    for name, data in {"src/a.go": b"package a", ".env": b"K=1", "node_modules/x.js": b"1", "bin.dat": b"\x00\x01", "README.md": b"# hi", "pkg/__init__.py": b"", "_a b+c%20.py": b"x = 1", ".ci/run.yml": b"a: 1"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = {r.path: r.language for r in files.source_tree(spark, str(tmp_path)).collect()}
-    assert got == {"src/a.go": "go", "README.md": "markdown"}
+    assert got == {"src/a.go": "go", "README.md": "markdown", "pkg/__init__.py": "python", "_a b+c%20.py": "python", ".ci/run.yml": "yaml"}
+    assert files.source_tree(spark, f"file://{tmp_path}/", include=["*.go"]).select("path", "text").collect() == [("src/a.go", "package a")]
 
 
 def test_corpus_round_trip(spark, tmp_path):
