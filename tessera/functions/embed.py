@@ -102,9 +102,13 @@ def local(dim: int = DIMENSION, seeds: tuple[str, str] = SEEDS) -> Embedder:
     return run
 
 
-def embedded(docs: DataFrame, embedder: Embedder | None = None, text: str = "content", batch: int = 256) -> DataFrame:
-    """``docs`` with ``embedding`` and ``embed_error``: a text that can't be embedded has a null vector and says why."""
+def embedded(docs: DataFrame, embedder: Embedder | None = None, text: str = "content", batch: int = 256, partitions: int | None = None) -> DataFrame:
+    """``docs`` with ``embedding`` and ``embed_error``: a text that can't be embedded has a null vector and says why.
+
+    ``partitions`` deals the rows evenly first, for inputs of few splits: moving a text costs far less than embedding it.
+    """
     embedder = embedder or local()
+    docs = docs.repartition(partitions) if partitions else docs
     schema = docs.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("embed_error", F.lit(None).cast("string")).schema
 
     def run(batches):

@@ -69,24 +69,27 @@ def open_metrics(rows: DataFrame, name: str, label: str, value: str, kind: str =
 def rate_limited(requests: DataFrame, rate: float = 10.0, burst: float = 20.0, key: str = "ip", at: str = "ts") -> DataFrame:
     """``requests`` with ``allowed``: a token bucket per key, replayed in time order.
 
-    A key's requests are folded in one sorted pass; hours are independent once a bucket is full, so a key's history is
-    cut wherever a gap is long enough to fill it.
+    Keys are sorted in the exchange and folded batch by batch: a task holds one batch and one bucket, however long a
+    key's history is.  A null key is a key; rows without a time come first and cost a token each.
     """
-    seconds = F.col(at).cast("timestamp").cast("double")
-    w = Window.partitionBy(key).orderBy(at)
-    gap = F.coalesce(seconds - F.lag(seconds).over(w), F.lit(burst / rate))
-    run = F.sum(F.when(gap * rate >= burst, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = requests.withColumn("__s", seconds).withColumn("__run", run)
-
-    def fold(pdf):
-        pdf = pdf.sort_values("__s", kind="stable")
-        tokens, last, out = burst, None, []
-        for s in pdf["__s"]:
-            tokens = min(burst, tokens + (0 if last is None else (s - last) * rate))
-            last = s
-            out.append(tokens >= 1)
-            tokens -= out[-1]
-        return pdf.assign(allowed=out).drop(columns=["__s", "__run"])
+    seconds = F.coalesce(F.col(at).cast("timestamp").cast("double"), F.lit(float("-inf")))
+    marked = requests.withColumn("__k", F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("string").alias("k")).cast("string")).withColumn("__s", seconds)
+
+    def fold(batches):
+        import pandas as pd
+
+        current, tokens, last = None, burst, None
+        for pdf in batches:
+            out = []
+            for k, s in zip(pdf["__k"], pdf["__s"], strict=True):
+                if k != current:
+                    current, tokens, last = k, burst, s
+                if s > last:
+                    tokens = min(burst, tokens + (s - last) * rate)
+                    last = s
+                out.append(tokens >= 1)
+                tokens -= out[-1]
+            yield pdf.assign(allowed=pd.Series(out, index=pdf.index, dtype="bool")).drop(columns=["__k", "__s"])
 
     schema = requests.withColumn("allowed", F.lit(True)).schema
-    return marked.groupBy(key, "__run").applyInPandas(fold, schema)
+    return marked.repartition("__k").sortWithinPartitions("__k", "__s").mapInPandas(fold, schema)

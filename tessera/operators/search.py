@@ -61,35 +61,60 @@ def two_phase(docs: DataFrame, query: list[float], k: int, shard: str = "shard_i
     return hydrate(refs, docs, (shard, "id"))
 
 
-def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
-    """``<name>b, <name>``: rows of ``id, embedding`` gathered by a hash of the id in blocks of about ``size``."""
-    n = max(1, -(-rows.count() // size))
-    dealt = rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{name}b"))
+def _blocks(rows: DataFrame, name: str, blocks: int) -> DataFrame:
+    """``<name>b, <name>_ids, <name>_vectors``: rows of ``id, embedding`` gathered by a hash of the id in so many blocks."""
+    dealt = rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(f"{name}b"))
     return dealt.groupBy(f"{name}b").agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("embedding").alias(f"{name}_vectors"))
 
 
+def _nearest(x, q, k: int, cells: int = 1 << 22):
+    """(rows of ``q``, rows of ``x``, distances) of what may be among each query's ``k`` nearest, rounded, ties included.
+
+    A matrix product gives distances up to its rounding error; pairs within that error of the kth are computed anew.
+    """
+    import numpy as np
+
+    xx, k = (x * x).sum(axis=1), min(k, len(x))
+    longest = np.sqrt(xx.max())
+    step = max(1, cells // len(x))
+    for a in range(0, len(q), step):
+        part = q[a : a + step]
+        qq = (part * part).sum(axis=1)
+        near = qq[:, None] + xx - 2 * (part @ x.T)
+        slack = 1e-12 * (np.sqrt(qq) + longest) ** 2  # far above the error of sums of double products
+        kth = np.maximum(np.partition(near, k - 1, axis=1)[:, k - 1] + slack, 0)
+        most = (np.sqrt(kth) + 2 * 10.0**-V.ROUND) ** 2 + slack
+        for b in range(0, len(part), 64):
+            i, j = np.nonzero(near[b : b + 64] <= most[b : b + 64, None])
+            yield a + b + i, j, np.round(np.sqrt(((x[j] - part[b + i]) ** 2).sum(axis=1)), V.ROUND)
+
+
 def knn(docs: DataFrame, queries: DataFrame, k: int, docs_per_block: int = 8192, queries_per_block: int = 1024) -> DataFrame:
     """``query_id, id, distance, rank``: the ``k`` nearest documents of each query of a batch.
 
     ``queries`` holds ``query_id, embedding``.  Both sides are gathered in bounded blocks and each pair of blocks is
-    one matrix computation; only each query's best of a block leave a task.
+    one matrix product; only each query's best of a block leave a task.  Rows without a vector take no part.
     """
     import numpy as np
     import pandas as pd
 
-    d, q = _blocks(docs, "d", docs_per_block), _blocks(queries.select(F.col("query_id").alias("id"), "embedding"), "q", queries_per_block)
-    pairs = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-queries.count() // queries_per_block)) - 1))))
+    docs, queries = (t.where(F.col("embedding").isNotNull()) for t in (docs, queries))
+    sides = docs.select(F.lit(1).alias("d")).unionByName(queries.select(F.lit(0).alias("d"))).agg(F.count_if(F.col("d") == 1), F.count_if(F.col("d") == 0)).first()
+    nd, nq = (max(1, -(-n // size)) for n, size in zip(sides, (docs_per_block, queries_per_block), strict=True))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    nd = max(nd, min(-(-cores // nq), -(-sides[0] // 1024)))  # small tables: a block for each core, if it is worth one
+    d, q = _blocks(docs, "d", nd), _blocks(queries.select(F.col("query_id").alias("id"), "embedding"), "q", nq)
+    pairs = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def scan(batches):
         for pdf in batches:
-            for _, r in pdf.iterrows():
-                ids, x = np.asarray(r["d_ids"]), np.stack(r["d_vectors"]).astype(np.float64)
-                for name, v in zip(r["q_ids"], r["q_vectors"], strict=True):
-                    near = np.round(np.sqrt(((x - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1)), V.ROUND)
-                    at = np.flatnonzero(near <= np.partition(near, min(k, len(x)) - 1)[min(k, len(x)) - 1])
-                    at = at[np.lexsort((ids[at], near[at]))[:k]]
-                    yield pd.DataFrame({"query_id": name, "id": ids[at], "distance": near[at]})
+            for r in pdf.itertuples(index=False):
+                ids, names = np.asarray(r.d_ids), np.asarray(r.q_ids)
+                x, v = (np.array(list(m), dtype=np.float64) for m in (r.d_vectors, r.q_vectors))
+                for i, j, distance in _nearest(x, v, k):
+                    found = pd.DataFrame({"query_id": names[i], "id": ids[j], "distance": distance}).sort_values(["query_id", "distance", "id"])
+                    yield found.groupby("query_id", sort=False).head(k)
 
     found = pairs.join(q, "qb").repartition("db", "qb").mapInPandas(scan, f"query_id {kind}, id string, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))

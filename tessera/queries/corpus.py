@@ -30,7 +30,7 @@ def _spans(t: Tables):
 
 
 def _embedded(t: Tables):
-    rows = embed.embedded(_documents(t).withColumnRenamed("text", "content"), embed.local(64))
+    rows = embed.embedded(_documents(t).withColumnRenamed("text", "content"), embed.local(64), partitions=int(t.spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.select("id", F.size("embedding").alias("dim"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), "embed_error")
 
 
@@ -104,6 +104,6 @@ QUERIES = {
         "SELECT 'default' AS kb_id, CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty text' END AS error FROM documents",
     ),
     "conversation_chunks": (_conversations, None),
-    "stream_dedup": (_stream_dedup, None),
+    "stream_dedup": (_stream_dedup, "SELECT event_type AS kind, count(DISTINCT event_id % 4000) AS n FROM events GROUP BY 1"),
     "stream_ingest": (_stream_ingest, None),
 }

@@ -157,5 +157,15 @@ QUERIES = {
         lambda t: t("requests").select("event_id", F.when(F.col("status") >= 400, "error").otherwise("ok").alias("class"), F.greatest("latency_ms", F.lit(0)).alias("ms")),
         with_tables("SELECT event_id, CASE WHEN status >= 400 THEN 'error' ELSE 'ok' END AS class, greatest(latency_ms, 0) AS ms FROM requests", "requests"),
     ),
-    "rate_limit": (_limited, None),
+    "rate_limit": (
+        _limited,
+        with_tables(
+            """WITH l AS (SELECT CAST(user_id % 3 AS VARCHAR) AS ip, list(epoch(ts) ORDER BY ts) AS times FROM requests GROUP BY 1),
+            b AS (SELECT ip, len(times) AS total, list_reduce(list_transform(list_prepend(times[1], times), lambda s: {'s': s, 'tokens': CAST(5 AS DOUBLE), 'n': CAST(0 AS BIGINT)}),
+              lambda a, x: {'s': x.s, 'tokens': least(5, a.tokens + (x.s - a.s) * 0.001) - CASE WHEN least(5, a.tokens + (x.s - a.s) * 0.001) >= 1 THEN 1 ELSE 0 END,
+                'n': a.n + CASE WHEN least(5, a.tokens + (x.s - a.s) * 0.001) >= 1 THEN 1 ELSE 0 END}).n AS passed FROM l)
+            SELECT ip, true AS allowed, passed AS n FROM b WHERE passed > 0 UNION ALL SELECT ip, false, total - passed FROM b WHERE total > passed""",
+            "requests",
+        ),
+    ),
 }

@@ -48,7 +48,7 @@ def _reconstructed(t: Tables):
 
 
 def _gc(t: Tables):
-    queue = t("events_log").where("kind = 'kb.published'").select("kb_id", F.concat(F.lit("shard-"), F.lpad((F.crc32("event_id") % 60).cast("string"), 5, "0")).alias("shard_key"), (F.col("created_at").cast("timestamp") + F.expr("INTERVAL 2 MINUTES")).alias("not_before")).groupBy("kb_id", "shard_key").agg(F.max("not_before").alias("not_before"))
+    queue = t("events_log").where("kind = 'kb.published'").select("kb_id", F.concat(F.lit("shard-"), F.lpad((F.floor(F.substring("event_id", 5, 10).cast("long") / 4) % 60).cast("string"), 5, "0")).alias("shard_key"), (F.col("created_at").cast("timestamp") + F.expr("INTERVAL 2 MINUTES")).alias("not_before")).groupBy("kb_id", "shard_key").agg(F.max("not_before").alias("not_before"))
     active = t("shard_rows").select("kb_id", F.col("shard_id").alias("shard_key"))
     return compact.gc_plan(queue, active, F.expr(NOW)).groupBy("kb_id", "action").agg(F.count("*").alias("n"))
 
@@ -86,6 +86,18 @@ def _status(t: Tables):
     return codeindex.status(files)
 
 
+def _refreshed(t: Tables):
+    """Files and the chunk of each after a scan: what did not change keeps its old chunk."""
+    chunk = lambda when: F.concat_ws("#", "path", "hash", F.coalesce("language", F.lit("")), F.lit(when))
+    old, found = (t(n).withColumn("size_bytes", F.lit(1).cast("long")) for n in ("files_old", "files_new"))
+    old = old.withColumn("chunk_ids", F.array(chunk("old")))
+    chunks = old.select(F.explode("chunk_ids").alias("id"), "path")
+    changes = codeindex.diff(old, found)
+    fresh = found.join(changes.where(F.col("change").isin("new", "changed")), "path", "left_semi").select(chunk("new").alias("id"), "path")
+    files, left = codeindex.refreshed(old, chunks, found, changes, fresh)
+    return files.select("path", F.explode("chunk_ids").alias("chunk_id")).join(left.select("path", F.col("id").alias("chunk_id")), ["path", "chunk_id"])
+
+
 def _ids(t: Tables):
     return t("documents").select(
         "doc_id", S.chunk_id(F.col("doc_id").cast("string"), F.col("doc_id") % 1200).alias("chunk"), S.page_id(F.col("source"), F.col("doc_id") % 7).alias("page"), S.repo_id(F.col("source")).alias("repo"), S.kb_id_of_key(F.concat(F.lit("a b/"), "source")).alias("kb")
@@ -138,7 +150,20 @@ QUERIES = {
         with_tables("SELECT shard_id, size_bytes, tombstone_ratio FROM shard_rows WHERE size_bytes > 0 AND tombstone_ratio >= 0.2 ORDER BY tombstone_ratio DESC, size_bytes, shard_id LIMIT 4", "shard_rows"),
     ),
     "manifest_bytes": (lambda t: t("shard_rows").groupBy("kb_id").agg(F.sum("size_bytes").alias("total_size_bytes"), F.max("shard_id").alias("max_id")), with_tables("SELECT kb_id, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes, max(shard_id) AS max_id FROM shard_rows GROUP BY 1", "shard_rows")),
-    "shard_gc_plan": (_gc, None),
+    "shard_gc_plan": (
+        _gc,
+        with_tables(
+            """WITH q AS (SELECT kb_id, concat('shard-', lpad(CAST((CAST(substr(event_id, 5, 10) AS BIGINT) // 4) % 60 AS VARCHAR), 5, '0')) AS shard_key, max(created_at + INTERVAL 2 MINUTES) AS not_before
+              FROM events_log WHERE kind = 'kb.published' GROUP BY 1, 2),
+            a AS (SELECT DISTINCT kb_id, shard_id AS shard_key, true AS live FROM shard_rows)
+            SELECT kb_id, CASE WHEN not_before > TIMESTAMP '2024-01-20 00:00:00' THEN 'wait' WHEN live THEN 'keep' ELSE 'delete' END AS action, count(*) AS n FROM q LEFT JOIN a USING (kb_id, shard_key) GROUP BY 1, 2""",
+            "events_log", "shard_rows",
+        ),
+    ),
+    "code_index_refresh": (
+        _refreshed,
+        "SELECT concat('src/', CAST(doc_id AS VARCHAR), '.txt') AS path, concat_ws('#', concat('src/', CAST(doc_id AS VARCHAR), '.txt'), md5(CASE WHEN doc_id % 5 = 1 THEN concat(text, 'x') ELSE text END), coalesce(lang, ''), CASE WHEN doc_id % 10 <> 0 AND doc_id % 5 <> 1 AND text IS NOT NULL THEN 'old' ELSE 'new' END) AS chunk_id FROM documents WHERE doc_id % 7 <> 0",
+    ),
     "cache_evict_plan": (
         _evict,
         with_tables(

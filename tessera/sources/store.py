@@ -8,6 +8,7 @@ guarantee needs a store that refuses to create a file that exists.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
@@ -84,20 +85,45 @@ class BlobStore:
         finally:
             stream.close()
 
+    def _rename(self, source: str, target: str, over: bool) -> None:
+        """Atomic where the store's rename is: fails if the target exists, or takes its place."""
+        a, b = self.path(source), self.path(target)
+        how = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(how, 1)
+        options[0] = how.OVERWRITE if over else how.NONE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs(a).getUri(), self._conf).rename(self._fs(a).makeQualified(a), self._fs(b).makeQualified(b), options)
+
     def put_if(self, key: str, data: bytes, expected: str) -> str:
-        """Replace an object if its version is ``expected``; empty: it must not exist.  A file of another name is renamed into place."""
+        """Replace an object if its version is ``expected``; empty: it must not exist.
+
+        The new bytes take a name made of the key and the expected version, which only one writer can get, and move
+        from there over the object.  The object is there at all times; a move that a lost writer left undone is
+        finished by the next, who then fails as having come second.
+        """
         if not expected:
             self.create(key, data)
             return hashlib.sha256(data).hexdigest()
         if self.head(key) != expected:
             raise VersionMismatch(key)
-        temporary = f"{key}.{uuid.uuid4().hex}.tmp"
+        claim, temporary, version = f"{key}.{expected}.next", f"{key}.{uuid.uuid4().hex}.tmp", hashlib.sha256(data).hexdigest()
         self.create(temporary, data)
-        source, target = self.path(temporary), self.path(key)
-        self._fs(target).delete(target, False)
-        if not self._fs(target).rename(source, target):
+        try:
+            self._rename(temporary, claim, over=False)
+        except Exception as e:
+            self.delete(temporary)
+            with contextlib.suppress(Exception):
+                if self.head(key) == expected:
+                    self._rename(claim, key, over=True)
+            raise VersionMismatch(key) from e
+        if self.head(key) != expected:
+            self.delete(claim)
             raise VersionMismatch(key)
-        return hashlib.sha256(data).hexdigest()
+        try:
+            self._rename(claim, key, over=True)
+        except Exception as e:  # another writer may have finished this move
+            if self.head(key) != version:
+                raise VersionMismatch(key) from e
+        return version
 
     def delete(self, key: str) -> bool:
         p = self.path(key)

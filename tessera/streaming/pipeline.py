@@ -46,7 +46,7 @@ def graph_extracted(chunks: DataFrame, grapher: graphbuild.Grapher = graphbuild.
 
 
 def publisher(store: SnapshotStore, kb_id: str, attempts: int = 5) -> Callable[[DataFrame, int], None]:
-    """Stage 3, for ``foreachBatch``: upsert a micro-batch and publish it, once.
+    """Stage 3, for ``foreachBatch``: upsert a micro-batch and publish it, once; of equal ids the last row wins.
 
     The number of the last batch is part of the published tables, so a batch that is replayed after a failure is
     recognised and changes nothing.
@@ -55,21 +55,29 @@ def publisher(store: SnapshotStore, kb_id: str, attempts: int = 5) -> Callable[[
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.where("embedding is not null").select("id", "content", "embedding").dropDuplicates(["id"])
 
-        def once():
+        def once(rows: DataFrame):
             now = store.current(kb_id)
+            done = spark.createDataFrame([(batch_id,)], "batch_id long")
             if now and "batches" in now.manifest["tables"]:
-                done = store.read(kb_id, "batches", now)
-                if not done.where(F.col("batch_id") == batch_id).isEmpty():
-                    return
-                done = done.unionByName(spark.createDataFrame([(batch_id,)], "batch_id long"))
-            else:
-                done = spark.createDataFrame([(batch_id,)], "batch_id long")
-            docs = mutate.upsert(store.read(kb_id, "docs", now), rows) if now and "docs" in now.manifest["tables"] else rows
+                done = store.read(kb_id, "batches", now).unionByName(done)
+            docs = mutate.upsert(store.read(kb_id, "docs", now), rows, "__order") if now and "docs" in now.manifest["tables"] else mutate.last_of_each(rows, "__order")
             store.publish(kb_id, {"docs": docs.select("id", "content", "embedding"), "batches": done.coalesce(1)}, now.version if now else None)
 
-        with_retry(once, attempts, (VersionMismatch,))
+        def attempt():
+            now = store.current(kb_id)
+            if now and "batches" in now.manifest["tables"] and not store.read(kb_id, "batches", now).where(F.col("batch_id") == batch_id).isEmpty():
+                return
+            if not made:  # a batch is planned anew by each action: embed it once
+                made.extend(store.staged(kb_id, batch.where("embedding is not null").select("id", "content", "embedding").withColumn("__order", F.monotonically_increasing_id())))
+            once(made[0])
+
+        made: list = []
+        try:
+            with_retry(attempt, attempts, (VersionMismatch,))
+        finally:
+            if made:
+                store.blobs.delete(made[1])
 
     return publish
 

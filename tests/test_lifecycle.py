@@ -21,6 +21,16 @@ def test_compare_and_swap(spark, tmp_path):
     assert [k for k, _ in store.list("a")] == ["a/b.json"]
 
 
+def test_an_unfinished_replacement_is_finished(spark, tmp_path):
+    store = BlobStore(spark, str(tmp_path))
+    v = store.put_if("x.json", b"1", "")
+    store.create(f"x.json.{v}.next", b"2")  # its writer was lost before the move
+    with pytest.raises(VersionMismatch):
+        store.put_if("x.json", b"3", v)
+    assert store.get("x.json") == b"2" and store.put_if("x.json", b"3", store.head("x.json"))
+    assert [k for k, _ in store.list("")] == ["x.json"]
+
+
 def test_publish_is_versioned(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path))
     one = spark.createDataFrame([("a",)], "id string")
@@ -176,6 +186,21 @@ def test_open_metrics(spark):
     assert [r.line for r in metrics.open_metrics(rows, "hits", "kb", "n").collect()] == ["# TYPE hits counter", 'hits{kb="a\\"b"} 2']
 
 
+def test_rate_limit_replays_each_key_in_order(spark):
+    rows = [(k, i * 0.05 * (1 + (k or "z").count("a"))) for i in range(400) for k in ("a", "b", None)] + [("a", 500.0)]
+    df = spark.createDataFrame(rows, "ip string, s double").select("ip", F.col("s").cast("timestamp").alias("ts"))
+    got = {(r.ip, r.allowed): r.n for r in metrics.rate_limited(df, 10.0, 20.0).groupBy("ip", "allowed").agg(F.count("*").alias("n")).collect()}
+    want = {}
+    for key in ("a", "b", None):
+        tokens, last = 20.0, None
+        for s in sorted(s for k, s in rows if k == key):
+            tokens = min(20.0, tokens + (0 if last is None else (s - last) * 10.0))
+            last, ok = s, tokens >= 1
+            tokens -= ok
+            want[(key, ok)] = want.get((key, ok), 0) + 1
+    assert got == want
+
+
 def test_uploads_fail_one_by_one(spark):
     rows = [("a.txt", None, b" hello "), ("b.bin", "application/zip", b"x"), ("c.txt", "text/plain", b"  "), ("d.html", None, b"<p>x</p>")]
     got = {(r.name, r.status): r.text for r in files.pages(spark.createDataFrame(rows, "name string, content_type string, content binary")).collect()}
@@ -209,6 +234,14 @@ def test_streamed_ingest_replays_to_the_same_table(spark, tmp_path):
     assert store.current("kb").version == 1
 
 
+def test_the_last_of_equal_ids_of_a_micro_batch_wins(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", "old", [1.0]), ("b", "x", [2.0]), ("a", "new", [3.0]), ("c", "none", None)], "id string, content string, embedding array<float>").coalesce(1)
+    pipeline.publisher(store, "kb")(rows, 0)
+    assert {r.id: r.content for r in store.read("kb", "docs").collect()} == {"a": "new", "b": "x"}
+    assert not store.blobs.list("kb/staging")
+
+
 def test_stateful_retries(spark, tmp_path):
     rows = [("a", False), ("a", False), ("a", False), ("b", False), ("b", True)]
     spark.createDataFrame(rows, "event_id string, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
