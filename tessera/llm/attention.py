@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .samples import labelled
+from .samples import TRAIN_BYTES, labelled
 
 PASSAGE_WORDS, TRAIN_DOCS, SEED = 64, 4000, 11
 HIDDEN, GATE, EPOCHS, RATE, DECAY = 16, 8, 250, 0.03, 1e-3
@@ -112,6 +112,19 @@ def _forward(x: np.ndarray, begin: np.ndarray, w: dict[str, np.ndarray]) -> dict
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(z @ w["out"] + w["out0"])}
 
 
+def gradient(x: np.ndarray, begin: np.ndarray, y: np.ndarray, w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of the documents ``x[begin[i]:begin[i+1]]`` with labels ``y``, by weight."""
+    size, f = np.diff(begin), _forward(x, begin, w)
+    ds = (f["p"] - y) / len(y)
+    dz = np.repeat(ds[:, None] * w["out"], size, axis=0)
+    da = (f["h"] * dz).sum(axis=1)
+    draw = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, begin[:-1]), size))
+    dtg = draw[:, None] * w["attend"]
+    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["a"][:, None] * dz + dt @ w["tanh"].T + dg @ w["gate"].T) * (1 - f["h"] ** 2)
+    return {"encode": x.T @ dh, "encode0": dh.sum(axis=0), "tanh": f["h"].T @ dt, "gate": f["h"].T @ dg, "attend": (f["t"] * f["g"]).T @ draw, "out": f["z"].T @ ds, "out0": ds.sum()}
+
+
 def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Full-batch gradient descent (Adam) on documents ``x[begin[i]:begin[i+1]]`` with labels 0 or 1."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -120,19 +133,10 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, s
     shape = {"encode": (x.shape[1], HIDDEN), "encode0": (HIDDEN,), "tanh": (HIDDEN, GATE), "gate": (HIDDEN, GATE), "attend": (GATE,), "out": (HIDDEN,), "out0": ()}
     w = {k: rng.standard_normal(s) / np.sqrt(max(1, s[0] if s else 1)) if not k.endswith("0") else np.zeros(s) for k, s in shape.items()}
     m, v = ({k: np.zeros(s) for k, s in shape.items()} for _ in range(2))
-    first, size, n = begin[:-1], np.diff(begin), len(y)
     for step in range(1, epochs + 1):
-        f = _forward(x, begin, w)
-        ds = (f["p"] - y) / n
-        dz = np.repeat(ds[:, None] * w["out"], size, axis=0)
-        da = (f["h"] * dz).sum(axis=1)
-        draw = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first), size))
-        dtg = draw[:, None] * w["attend"]
-        dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-        dh = (f["a"][:, None] * dz + dt @ w["tanh"].T + dg @ w["gate"].T) * (1 - f["h"] ** 2)
-        grad = {"encode": x.T @ dh, "encode0": dh.sum(axis=0), "tanh": f["h"].T @ dt, "gate": f["h"].T @ dg, "attend": (f["t"] * f["g"]).T @ draw, "out": f["z"].T @ ds, "out0": ds.sum()}
+        grad = gradient(x, begin, y, w)
         for k in w:
-            d = grad[k] + (0 if k.endswith("0") else DECAY * w[k] / n * 10)
+            d = grad[k] + (0 if k.endswith("0") else DECAY * w[k] / len(y) * 10)
             m[k] = 0.9 * m[k] + 0.1 * d
             v[k] = 0.999 * v[k] + 0.001 * d * d
             w[k] = w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -150,9 +154,9 @@ def _measured(batches):
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS) -> Model | None:
-    """Fit on up to ``limit`` documents with label 0 or 1; None without two classes."""
-    rows = labelled(docs, labels.select(key, label), F.col(label).isin(0, 1), limit, key, text)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> Model | None:
+    """Fit on up to ``limit`` documents of at most ``max_bytes`` bytes with label 0 or 1; None without two classes."""
+    rows = labelled(docs, labels.select(key, label), F.col(label).isin(0, 1), limit, key, text, max_bytes)
     got = rows.select(F.col(text).alias("text"), F.col(label).cast("double").alias("y")).mapInArrow(_measured, "y double, x binary").collect()
     got.sort(key=lambda r: (r.x, r.y))
     y = np.array([r.y for r in got])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .samples import labelled
+from .samples import TRAIN_BYTES, labelled
 
 TRAIN_DOCS, FOLDS, WORDS, LEAST_DOCS, SEED = 8000, 4, 4096, 3, 5
 STEPS, RATE, RIDGE = 150, 0.3, 2.0
@@ -145,8 +145,8 @@ def fit(hashed: np.ndarray, bounds: np.ndarray, targets: dict[str, np.ndarray],
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS) -> Chain:
-    """Fit on up to ``limit`` documents that have a label for each category."""
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> Chain:
+    """Fit on up to ``limit`` documents of at most ``max_bytes`` bytes that have a label for each category."""
     categories = categories or CATEGORIES
     marks = labels.select(key, *(F.expr(f"cast({c} as double)").alias(f"__y{i}") for i, c in enumerate(categories.values())))
     names = [f"__y{i}" for i in range(len(categories))]
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None
                     [pa.array([hashed[bounds[i] : bounds[i + 1]].tobytes() for i in range(b - a)], pa.binary()), *(batch.column(c).slice(a, b - a) for c in names)], names=["words", *names]
                 )
 
-    rows = labelled(docs, marks, wanted, limit, key, text).select(F.col(text).alias("text"), *names)
+    rows = labelled(docs, marks, wanted, limit, key, text, max_bytes).select(F.col(text).alias("text"), *names)
     got = sorted(rows.mapInArrow(words, "words binary, " + ", ".join(f"{c} double" for c in names)).collect())
     parts = [np.frombuffer(r[0], dtype=np.uint64) for r in got]
     hashed = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
