@@ -26,7 +26,12 @@ def test_query(spark, sf_dir, con, name):
     if sql:
         assert rows(got) == rows(con.execute(sql).df())
     else:
-        assert len(got.columns) > 0
+        assert len(got)
+        if name == "text_chunk_spans":
+            # Joining parts anew may change the white space between them; all other chunks are the bytes at their span.
+            assert (got["largest"] <= 500).all() and got["exact"].sum() > 0.95 * got["chunks"].sum()
+        if "dim" in got:
+            assert ((got["dim"] > 0) | got["embed_error"].notna()).all()
 
 
 def test_entry(spark):
