@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
+import numpy as np
 import pytest
 
 from tessera.queries import registry
@@ -34,6 +36,19 @@ def test_query(spark, sf_dir, con, name):
             assert ((got["dim"] > 0) | got["embed_error"].notna()).all()
 
 
+def test_small_base_search_is_exact_over_many_shards(spark, sf_dir, tmp_path):
+    """Five shards of 2,000 rows and a rest, more than the fanout: those near the query lie in shards whose centroids do not."""
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in v], 0) for i, v in enumerate(rng.normal(size=(10_500, 3)))]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    shutil.copy(f"{sf_dir}/documents.parquet", tmp_path)
+    got = registry.queries()["vector_topk_small_kb"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    for name, files in (("embeddings", "embeddings.parquet/*.parquet"), ("documents", "documents.parquet")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{files}'")
+    assert len(got) == 10 and rows(got) == rows(con.execute(registry.oracle_sql()["vector_topk_small_kb"]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
