@@ -59,9 +59,22 @@ def to_float(v: Column | str) -> Column:
     return _col(v).cast("array<float>")
 
 
+def rounded_signed(x: Column, digits: int) -> Column:
+    """Half away from zero; as in IEEE arithmetic, and unlike ``round``, negative numbers that round to zero give -0.0."""
+    return F.signum(x) * F.round(F.abs(x), digits)
+
+
 def to_text(v: Column | str) -> Column:
-    """``[a, b]`` with six decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(_col(v), lambda x: F.format_string("%.6f", x.cast("double"))), ", "), F.lit("]"))
+    """``[a, b]`` with six decimals, halves to even as ``printf`` in C has it: Java's format rounds them up.
+
+    A single-precision number lies half-way between six decimals only if it is an odd multiple of 1/128.
+    """
+
+    def decimals(x: Column) -> Column:
+        x = x.cast("double")
+        return F.format_string(f"%.{ROUND}f", F.when(F.abs(x * 128) % 2 == 1, F.bround(x, ROUND)).otherwise(x))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(_col(v), decimals), ", "), F.lit("]"))
 
 
 def from_text(text: Column | str) -> Column:

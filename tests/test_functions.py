@@ -104,6 +104,17 @@ def test_vectors(spark):
         df.select(vectors.of_dimension("a", 3)).collect()
 
 
+def test_vector_text_rounds_halves_to_even_and_keeps_signs(spark):
+    rng = np.random.default_rng(1)
+    halves = [k / 128 for k in range(-129, 130, 2)] + [1023.9921875, -131071.9921875, 2.0**-149, -0.0, -1e-7, 4.9e-7, 5e-7, -5e-7, 3.25, 16777215.0]
+    row = [float(np.float32(x)) for x in [*halves, *rng.normal(size=2000), *rng.normal(size=500) * 1e-6, *rng.normal(size=500) * 1e5]]
+    t = spark.createDataFrame([(row,)], "a array<float>").select(vectors.to_text("a")).first()[0]
+    assert t == "[" + ", ".join(f"{x:.6f}" for x in row) + "]"
+    first = [-2e-6, -0.0, 2e-6, -1.234565, 0.015625, -0.015625]
+    got = [str(r[0]) for r in spark.createDataFrame([(x,) for x in first], "x double").select(vectors.rounded_signed(F.col("x"), 5)).collect()]
+    assert got == ["-0.0", "-0.0", "0.0", "-1.23457", "0.01563", "-0.01563"]
+
+
 def test_options():
     assert Expansion(hops=0, alpha=0.0).normalised(5) == Expansion(10, 0, 25, 0.0, 0.7, 1000, ())
     assert Expansion(hops=-1, alpha=2.0, decay=0, max_neighbors=0).normalised(50).seed_k == 50

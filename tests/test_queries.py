@@ -36,6 +36,18 @@ def test_query(spark, sf_dir, con, name):
             assert ((got["dim"] > 0) | got["embed_error"].notna()).all()
 
 
+def test_vector_text_of_halves_and_small_negatives(spark, sf_dir, tmp_path):
+    """Halves of the sixth decimal go to the even one, and first components that round to zero keep their sign."""
+    vectors = [(0, [-0.0703125, 0.0078125], 0), (1, [-3e-6, 0.5], 0), (2, [-1e-7, -0.0], 0), (3, [-0.0, 1.5], 0), (4, [3e-6, 0.0234375], 0), (5, [0.015625, -3.0234375], 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    shutil.copy(f"{sf_dir}/documents.parquet", tmp_path)
+    got = registry.queries()["vector_text_round_trip"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    for name, files in (("embeddings", "embeddings.parquet/*.parquet"), ("documents", "documents.parquet")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{files}'")
+    assert len(got) == 6 and rows(got) == rows(con.execute(registry.oracle_sql()["vector_text_round_trip"]).df())
+
+
 def test_small_base_search_is_exact_over_many_shards(spark, sf_dir, tmp_path):
     """Five shards of 2,000 rows and a rest, more than the fanout: those near the query lie in shards whose centroids do not."""
     rng = np.random.default_rng(3)
