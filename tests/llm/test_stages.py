@@ -1,9 +1,12 @@
 """Stages of the pipeline on rows that the tables do not have."""
 
+import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline
 from tessera.llm import langid, mixing, packing
+from tessera.llm.common import release
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,6 +20,26 @@ def stage(spark, name, rows):
     return dict(corpus_pipeline.STAGES)[name](spark, docs, "")
 
 
+def test_release_gives_freed_native_memory_back(spark):
+    """Blocks freed below one that is still held stay in the allocator's pools until these are trimmed."""
+    jvm = spark.sparkContext._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+    mb = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path(status).read_text())[1]) / 1024
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, size = field.get(None), 100_000
+    blocks = [unsafe.allocateMemory(size) for _ in range(2000)]
+    for at in blocks:
+        unsafe.setMemory(at, size, 1)
+    for at in blocks[:-1]:
+        unsafe.freeMemory(at)
+    jvm.System.gc()
+    before = mb()
+    release(spark)
+    assert before - mb() > 100
+    unsafe.freeMemory(blocks[-1])
+
+
 # -- languages ------------------------------------------------------------------------------------
 
 
